@@ -1,0 +1 @@
+"""Treeline streaming."""
