@@ -150,13 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
                 found = features(part["text"].to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "quality": part["quality"], "places": [x.astype(np.int32) for x, _ in found], "times": [y.astype(np.float32) for _, y in found]})
 
-    table = sample.mapInArrow(counted, "doc_id long, quality int, places array<int>, times array<float>").toPandas()
-    table = table.sort_values(["doc_id", "quality"], kind="stable").reset_index(drop=True)
-    y = table["quality"].to_numpy(np.int64)
+    table = sample.mapInArrow(counted, "doc_id long, quality int, places array<int>, times array<float>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    y = table["quality"].to_numpy()
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2)), np.log(np.clip([counts[0], counts[1]], 1, None) / sum(counts.values())))
     back = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])[y]
-    return train([(a.astype(np.int64), b.astype(np.float64)) for a, b in zip(table["places"], table["times"], strict=True)], y, back / back.mean())
+    rows = [(a.values.to_numpy().astype(np.int64), b.values.to_numpy().astype(np.float64)) for a, b in zip(table["places"], table["times"], strict=True)]
+    return train(rows, y, back / back.mean())
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
