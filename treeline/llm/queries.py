@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import quality
+from treeline.llm import langid, quality, sharding
 from treeline.llm.common import fold
 
 
@@ -19,7 +19,21 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("lang_predicted").alias("lang_pred"), F.col("lang_score").alias("score"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("group_key").alias("group_sha256"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op5_language_id": op5_language_id,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
