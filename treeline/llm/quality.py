@@ -34,6 +34,8 @@ DIM = 8
 NGRAMS = (3, 4, 5, 6)
 PER_CLASS = 1000
 EPOCHS = 5
+#: A small sample is gone through more often, up to about so many steps.
+LEAST_STEPS = 600
 THRESHOLD = 0.3
 
 
@@ -110,6 +112,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     bias = np.log(np.clip([1 - share, share], 1e-6, 1))
     size = 16
     batches = -(-len(rows) // size)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
     for step in range(epochs * batches):
         if step % batches == 0:
             order = rng.permutation(len(rows))

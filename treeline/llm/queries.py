@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import langid, quality, sharding
+from treeline.llm import langid, linededup, quality, sharding
 from treeline.llm.common import fold
 
 
@@ -26,6 +26,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("lang_predicted").alias("lang_pred"), F.col("lang_score").alias("score"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("chunks").cast("long").alias("chunks"), F.array_join("removed_chunks", ",").alias("removed"), F.md5("text").alias("kept_md5"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("group_key").alias("group_sha256"))
@@ -34,6 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
