@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import quality
+from treeline.llm import chosenpath, decontam, linededup, packing, quality
 from treeline.llm.common import written
+from treeline.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +16,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where(F.col("quality_predicted") == 1).drop("quality_score", "quality_predicted")
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go; every document stays with the text that is left."""
+    left = linededup.dedup(docs)
+    return left.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of equal or similar texts, the document with the least doc_id stays (every row, where such ids repeat with other texts)."""
+    docs = written(docs)
+    classes = chosenpath.join(docs)
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of what is left, with its sequence."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: The trained stages and the packing can't be stated in SQL.

@@ -71,22 +71,14 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def split_words(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """All whitespace-separated words in order, and the offset of each text's words (one more entry than texts)."""
-    words: list[str] = []
-    ends = [0]
-    for text in texts:
-        if text:
-            words += text.split()
-        ends.append(len(words))
-    return words, np.asarray(ends, np.int64)
-
-
-def coded(words: list[str]) -> tuple[np.ndarray, list[str]]:
-    """Each word as its place in the list of distinct words."""
-    place: dict[str, int] = {}
-    codes = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-    return codes, list(place)
+def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The whitespace-separated words of all texts as places in a list of distinct words; each text's offsets; that list."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()]
+    words = flat.filter(pa.array(full)).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), starts, words.dictionary.to_pylist()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -138,3 +130,47 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         up = out.withColumnRenamed("id", "to")
         out = written(maps.pop().join(up, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by integer keys as tables of whole groups, each with the first row of every group and its end."""
+    kept: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            x = table[k].to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1]) if table.num_rows else np.zeros(0, np.int64)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        table = pa.Table.from_batches(kept)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, at[-1]), at
+            kept = table.slice(at[-1]).to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept)
+        yield table, np.append(starts(table), table.num_rows)
+
+
+def shingle_hashes(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of ``width`` words in order, and each text's offsets.
+
+    A text of fewer words has one shingle, all its words; a text without words has none.
+    """
+    codes, starts, distinct = coded_words(texts)
+    hashes = word_hashes(distinct)[codes]
+    number = np.diff(starts)
+    shingles = np.where(number > 0, np.maximum(1, number - width + 1), 0)
+    out_starts = np.concatenate([[0], np.cumsum(shingles)])
+    first = np.repeat(starts[:-1] - out_starts[:-1], shingles) + np.arange(out_starts[-1])
+    last = np.repeat(starts[1:], shingles)
+    padded = np.concatenate([hashes, np.zeros(width, np.uint64)])
+    total = np.zeros(len(first), np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + np.where(first + k < last, padded[first + k], np.uint64(k + 1))
+    return mix(total), out_starts

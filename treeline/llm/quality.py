@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import coded, codepoints, fold, mix, only, segment_sums, slices, split_words, word_hashes
+from treeline.llm.common import coded_words, codepoints, fold, mix, only, segment_sums, slices, word_hashes
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -47,8 +47,7 @@ class QualityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 for each text."""
-        words, starts = split_words(texts)
-        codes, distinct = coded(words)
+        codes, starts, distinct = coded_words(texts)
         owner, bucket = subwords(distinct)
         ends = np.searchsorted(owner, np.arange(len(distinct) + 1))
         sums, counts = segment_sums(self.vectors[bucket], ends), np.diff(ends)
@@ -93,8 +92,7 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its distinct buckets and how often each occurs."""
     out = []
     for text in texts:
-        words, starts = split_words([text])
-        codes, distinct = coded(words)
+        codes, starts, distinct = coded_words([text])
         owner, bucket = subwords(distinct)
         weights = np.bincount(codes, minlength=len(distinct))
         both = np.concatenate([bucket, bigrams(word_hashes(distinct), codes, starts)])
