@@ -9,9 +9,9 @@ from the start.
    the sketch's places, and its members go on to the child of the shingle
    that is sampled there. A pair at the threshold shares one child on average.
 2. Nodes with ``SMALL`` members or fewer are compared within one task by their
-   sketches. Larger ones split again; from level ``LEAD_FROM`` on, members
-   similar to a leader of their node are linked to it and leave, so that large
-   groups of near copies end too.
+   sketches. In larger ones, members similar to a leader of the node are linked
+   to it; those of ``LEAVES`` or more leave (who is linked to them is similar to
+   the leader too), so large groups of near copies end. The others split again.
 3. What is similar by sketches makes candidate groups (connected components).
    In each group all shingle sets are compared exactly, larger groups in
    blocks of ``BLOCK`` by ``BLOCK``. Tasks return counts and spanning links,
@@ -43,12 +43,12 @@ PLACES = 64
 SMALL = 256
 BLOCK = 256
 DEEPEST = 40
-LEAD_FROM = 4
 TARGET_RECALL = 0.999
 #: Chance that a pair at the threshold stays together in one run down to a few levels.
 KEPT = 0.45
-#: Share of equal sketch places from which a pair is a candidate; four standard deviations below the threshold.
-CANDIDATE = 0.58
+#: Share of equal sketch places from which a pair is a candidate; well below the threshold, since sketches err by 0.05.
+CANDIDATE = 0.5
+LEAVES = 0.8
 SECOND = int((1 / SIMILARITY - 1) * 2**32)
 
 
@@ -158,10 +158,10 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     def to_leader(batches):
         for batch in batches:
             if batch.num_rows:
-                same = (matrix(batch["sketch"], np.uint16) == matrix(batch["leader_sketch"], np.uint16)).mean(1) >= CANDIDATE
-                yield pa.RecordBatch.from_pydict({"path": batch["path"], "rep": batch["rep"], "leader": batch["leader"], "sketch": batch["sketch"], "near": pa.array(same)})
+                same = (matrix(batch["sketch"], np.uint16) == matrix(batch["leader_sketch"], np.uint16)).mean(1)
+                yield pa.RecordBatch.from_pydict({"path": batch["path"], "rep": batch["rep"], "leader": batch["leader"], "sketch": batch["sketch"], "same": pa.array(same)})
 
-    sketch = reps.select("rep", "sketch").mapInArrow(narrow, "rep long, sketch binary")
+    sketch = written(reps.select("rep", "sketch").mapInArrow(narrow, "rep long, sketch binary"))
     nodes, links = written(reps.select("rep", "sketch").mapInArrow(first, "path long, rep long")), []
     for level in range(1, DEEPEST + 1):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
@@ -170,13 +170,12 @@ def candidate_links(reps: DataFrame) -> DataFrame:
         links.append(written(small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(compared, "u long, v long").distinct()))
         if large.isEmpty():
             break
-        if level >= LEAD_FROM:
-            order = F.xxhash64("path", "rep")
-            leaders = large.groupBy("path").agg(F.min(F.struct(order.alias("o"), F.col("rep"))).alias("m")).select("path", F.col("m.rep").alias("leader"))
-            leaders = leaders.join(sketch.select(F.col("rep").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
-            large = written(large.join(leaders, "path").mapInArrow(to_leader, "path long, rep long, leader long, sketch binary, near boolean"))
-            links.append(large.where("near AND rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
-            large = large.where("NOT near").select("path", "rep", "sketch")
+        order = F.xxhash64("path", "rep")
+        leaders = large.groupBy("path").agg(F.min(F.struct(order.alias("o"), F.col("rep"))).alias("m")).select("path", F.col("m.rep").alias("leader"))
+        leaders = leaders.join(sketch.select(F.col("rep").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
+        led = written(large.join(leaders, "path").mapInArrow(to_leader, "path long, rep long, leader long, sketch binary, same double"))
+        links.append(led.where(F.col("same") >= CANDIDATE).where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+        large = led.where(F.col("same") < LEAVES).select("path", "rep", "sketch")
         nodes = written(large.mapInArrow(deeper, "path long, rep long"))
     else:
         raise RuntimeError("a node doesn't get small")
