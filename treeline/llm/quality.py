@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2)), np.log(np.clip([counts[0], counts[1]], 1, None) / sum(counts.values())))
     back = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])[y]
-    rows = [(a.values.to_numpy().astype(np.int64), b.values.to_numpy().astype(np.float64)) for a, b in zip(table["places"], table["times"], strict=True)]
+    rows = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(table["places"], table["times"], strict=True)]
     return train(rows, y, back / back.mean())
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
     schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0).alias("quality_predicted")).schema
 
     def scored(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             found = model.scores(part["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=schema.names)
 
