@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chosenpath, decontam, langid, linededup, packing, quality, sharding
+from treeline.llm import chosenpath, chroma, decontam, langid, linededup, packing, quality, secrets, sharding, urllist
 from treeline.llm.common import fold
 
 
@@ -13,6 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urllist.judge(urllist.dated_captures(pages), urllist.dated_entries(pages))
+    return judged.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("fetched_on", "matched_from")})
+
+
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as recordings: a row for each one's class, and for each match of a class that holds a query (an id divisible by 20)."""
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").alias("sound"))
+    members, matches = chroma.align(chroma.fingerprints(audio, chroma.melody))
+    none = F.lit(None)
+    rows = members.select(F.lit("member").alias("kind"), F.col("rec_id").alias("vec_id"), "class_id", *[none.cast("long").alias(c) for c in ("match_class", "offset", "hits", "overlap")], none.cast("double").alias("bit_error"))
+    return rows.unionByName(matches.select(F.lit("match").alias("kind"), none.cast("long").alias("vec_id"), "*"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -55,12 +74,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chroma_fingerprints": op7_chroma_fingerprints,
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filter": urllist.ORACLE, "op6_line_dedup": linededup.ORACLE}
