@@ -98,7 +98,11 @@ def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) ->
     value = lambda: rng.choice([lambda: pick(hexa, rng.choice([32, 40, 48, 64])), lambda: pick(wide, rng.randint(20, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(wide, 36), lambda: pick(wide + "+/", 43) + "="])()
     sentence = lambda: " ".join(word() for _ in range(rng.randint(2, 7)))
     syllables = ["tion", "ing", "the", "ent", "er", "an", "eau", "ment", "sch", "ier", "ou", "que", "lich", "and", "es"]
+    letters = "etaoinsrhldcumfpgwybvkxjqz"
+    invented = lambda: rng.choice([str.lower, str.upper, str.title])("".join(rng.choice([rng.choice(syllables), pick(letters[:12], rng.randint(1, 4))]) for _ in range(rng.randint(6, 14))))
     true = [
+        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
+        lambda: "ghp_" + pick(wide, 36),
         lambda: f'{name()} = "{value()}"',
         lambda: f"{name().upper()}={value()}",
         lambda: f'"{name()}": "{value()}"',
@@ -111,7 +115,10 @@ def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) ->
         lambda: f'id = "{uuid.UUID(int=rng.getrandbits(128))}"',
         lambda: f"https://{word()}.example.com/{'/'.join(word() for _ in range(4))}/{pick(hexa, 20)}",
         lambda: f"/{word()}/{word()}/{word()}_{word()}/{word()}",
-        lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(5, 9))),
+        invented,
+        invented,
+        lambda: f"{invented()}{rng.choice(['!!', '.', ',', '###', ' é'])} {invented()}",
+        lambda: f"{invented()} {rng.choice(['=', '|', ':'])} {invented()}",
         lambda: f'{name()} = "your_{word()}_{word()}_here"',
         lambda: f"{name()}: {pick('x*'[:1], 1) * rng.randint(16, 40)}",
         lambda: f"{word()}_{word()}_{word()}_{word()}",
