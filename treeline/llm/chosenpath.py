@@ -40,7 +40,7 @@ from treeline.llm.common import components, mix, only, shingle_hashes, slices, w
 SIMILARITY = 0.8
 WIDTH = 5
 PLACES = 64
-SMALL = 256
+SMALL = 1024
 BLOCK = 256
 DEEPEST = 40
 TARGET_RECALL = 0.999
@@ -48,7 +48,7 @@ TARGET_RECALL = 0.999
 KEPT = 0.45
 #: Share of equal sketch places from which a pair is a candidate; well below the threshold, since sketches err by 0.05.
 CANDIDATE = 0.5
-LEAVES = 0.8
+LEAVES = 0.7
 SECOND = int((1 / SIMILARITY - 1) * 2**32)
 
 
