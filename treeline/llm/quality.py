@@ -37,6 +37,8 @@ EPOCHS = 5
 #: A small sample is gone through more often, up to about so many steps.
 LEAST_STEPS = 600
 THRESHOLD = 0.3
+#: Distinct words whose n-grams are held at a time.
+WORDS_AT_ONCE = 8192
 
 
 @dataclass(frozen=True)
@@ -48,12 +50,15 @@ class QualityModel:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 for each text."""
         codes, starts, distinct = coded_words(texts)
-        owner, bucket = subwords(distinct)
-        ends = np.searchsorted(owner, np.arange(len(distinct) + 1))
-        sums, counts = segment_sums(self.vectors[bucket], ends), np.diff(ends)
+        sums, counts = np.zeros((len(distinct), DIM)), np.zeros(len(distinct))
+        for a in range(0, len(distinct), WORDS_AT_ONCE):
+            owner, bucket = subwords(distinct[a : a + WORDS_AT_ONCE])
+            ends = np.searchsorted(owner, np.arange(len(distinct[a : a + WORDS_AT_ONCE])))
+            sums[a : a + len(ends)] = np.add.reduceat(self.vectors[bucket], ends)
+            counts[a : a + len(ends)] = np.diff(np.append(ends, len(owner)))
         pairs = bigrams(word_hashes(distinct), codes, starts)
         total = segment_sums(sums[codes] + self.vectors[pairs], starts)
-        number = segment_sums(counts[codes] + 1.0, starts)
+        number = segment_sums(counts[codes] + 1, starts)
         z = total / np.maximum(number, 1)[:, None] @ self.output + self.bias
         return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -500, 500)))
 
