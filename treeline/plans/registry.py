@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from treeline.plans.oracles import ORACLES
+from treeline.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
