@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def cut(batches):
         encode = encoder(tokenizer)
-        for part in slices(batches, most=8 << 20):
+        for part in slices(batches, most=4 << 20):
             ids, starts = encode(part["text"].to_pylist())
             number = np.diff(starts)
             parts = -(-number // length)
