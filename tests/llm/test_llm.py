@@ -264,6 +264,34 @@ def test_chroma_finds_shifted_and_noisy_recordings(spark):
     assert np.mean(hits) >= 0.9 and not [p for p in found if p[0] % 100 != p[1] % 100 and p[0] < 200 and p[1] < 200]
 
 
+def test_chroma_index_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chroma, "BLOCK", 2000)  # several passes
+    rng = np.random.default_rng(9)
+    prints = [rng.integers(0, 1 << 32, 50, dtype=np.uint32) for _ in range(60)]
+    for k in range(60):
+        flips = np.packbits(rng.random((50, 32)) < rng.uniform(0.1, 0.22), axis=1).view(np.uint32).ravel()
+        cut = int(rng.integers(0, 20))
+        prints.append((prints[k] ^ flips)[cut:])
+    prints += [prints[0][:5], np.repeat(prints[1][:1], 50), np.repeat(prints[1][:1], 70)]
+
+    def least(a, b):
+        errors = [1.0]
+        for o in range(-len(b), len(a)):
+            x, y = a[max(0, o) : o + len(b)], b[max(0, -o) : len(a) - o]
+            if len(x) >= 0.5 * min(len(a), len(b)):
+                errors.append(np.bitwise_count(x ^ y).sum() / (32 * len(x)))
+        return min(errors)
+
+    n = len(prints)
+    true = {(a, b) for a in range(0, n, 2) for b in range(n) if a != b and least(prints[a], prints[b]) <= chroma.MOST_ERROR}
+    rows = spark.createDataFrame([(k, p.tobytes().hex(), bytearray(p.astype("<u4").tobytes())) for k, p in enumerate(prints)], "rec_id long, print_key string, ints binary")
+    found = [(r["class_id"], r["match_class"]) for r in chroma.align(rows, every=2)[1].collect()]
+    assert len(found) == len(set(found)) and set(found) <= true
+    assert len(true) > 40 and len(found) >= 0.9 * len(true)
+    none = chroma.align(rows.limit(0))
+    assert none[0].count() == none[1].count() == 0
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 

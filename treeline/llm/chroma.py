@@ -5,16 +5,24 @@ is added up by semitone class, smoothed over time and normalised. Sixteen
 rectangular filters over that image, read from its integral image, are
 quantised to two bits each and packed into one 32-bit integer per frame.
 
-Two recordings are aligned by the histogram of offsets at which two
-successive integers are equal; the best offset is kept if enough of the
-shorter one overlaps there and few enough bits differ. Recordings with equal
-fingerprints are one class, represented by its least id, so copies are found
-by membership and aligned once.
+Two recordings are aligned by the histogram of offsets at which sampled bits
+of a window of integers are equal; of its offsets the one with the fewest
+differing bits is kept, if enough of the shorter recording overlaps there and
+few enough bits differ. Each of several samplings takes some bits of a window:
+as many as keep chance agreements few, and as many samplings as let a pair at
+the largest allowed error meet ``MEETINGS`` times. So recall holds at any size
+while work grows slower than the square.
+
+Queries are taken in blocks of about ``BLOCK`` integers, which is all that is
+broadcast; each block meets every recording where that is, and no rows are
+shuffled. Recordings with equal fingerprints are one class, represented by its
+least id, so copies are found by membership and aligned once.
 
 Defined cases: null or empty audio, and audio too short for one integer, has
-no fingerprint and is its own class without matches; samples that aren't
+no fingerprint and is its own class without matches, a recording
+without an id has no matches; samples that aren't
 finite count as silence; a silent frame is a zero vector; of offsets with equal
-counts the one nearest to 0 wins, then the smaller. Other columns aren't read.
+errors the one met most often wins, then the one nearest to 0, then the smaller. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +31,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import only, written
@@ -41,6 +50,12 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 LEAST_OVERLAP = 0.5
 MOST_ERROR = 0.2
 QUERY_EVERY = 20
+#: Integers from which a sampling takes its bits; a shorter fingerprint is filled up with zeros for it.
+WINDOW = 8
+#: How often a pair with ``PLACES`` common windows at the largest error meets on average.
+MEETINGS, PLACES = 3.0, 24
+#: Integers of the queries of one pass, of the recordings compared at a time, and meetings held at a time.
+BLOCK, PART, HELD = 1 << 21, 1 << 16, 1 << 20
 
 
 def classes_of_bins(frame: int = FRAME, rate: int = RATE) -> np.ndarray:
@@ -120,13 +135,110 @@ def fingerprints(audio: DataFrame, sound_of=None) -> DataFrame:
     return only(audio, "rec_id", "sound").mapInArrow(made, "rec_id long, print_key string, ints binary")
 
 
-def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
-    """Overlap and share of differing bits with ``a[i + offset]`` beside ``b[i]``."""
-    low, high = max(0, -offset), min(len(b), len(a) - offset)
-    if high <= low:
-        return 0, 1.0
-    different = np.bitwise_count(a[low + offset : high + offset] ^ b[low:high])
-    return high - low, float(different.sum() / (32 * (high - low)))
+def samplings(places: int) -> np.ndarray:
+    """Samplings by bits: which of a window's bits each takes, for queries with so many windows."""
+    bits = min(60, max(12, int(np.ceil(np.log2(max(2, places))))))
+    number = int(np.ceil(MEETINGS / (PLACES * (1 - MOST_ERROR) ** bits)))
+    return np.random.default_rng(11).random((number, 32 * WINDOW)).argsort(1)[:, :bits]
+
+
+class Prints:
+    """Fingerprints laid in a row, each with its windows."""
+
+    def __init__(self, ids: np.ndarray, raw: list[bytes]):
+        ints = [np.frombuffer(x, "<u4") for x in raw]
+        self.ids = ids
+        self.length = np.fromiter(map(len, ints), np.int64, len(ints))
+        filled = np.maximum(self.length, WINDOW)
+        self.begin = np.cumsum(filled) - filled
+        self.flat = np.zeros(filled.sum(), np.uint32)
+        for x, a in zip(ints, self.begin.tolist(), strict=True):
+            self.flat[a : a + len(x)] = x
+        windows = filled - WINDOW + 1
+        self.owner = np.repeat(np.arange(len(ints)), windows)
+        self.at = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+    def keys(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows with their sampled bits. Runs of one value count once, at their first place, so that a held note isn't every offset at once."""
+        place, key = self.begin[self.owner] + self.at, np.zeros(len(self.owner), np.int64)
+        for b in bits.tolist():
+            key = (key << 1) | ((self.flat[place + b // 32] >> np.uint32(b % 32)) & np.uint32(1))
+        kept = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(self.owner, prepend=-1) != 0))
+        return kept, key[kept]
+
+
+def stretches(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Cuts of a row of things into stretches of about ``most`` in size, of one thing at least."""
+    if not len(size):
+        return []
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=-1)).tolist()
+    return list(zip(cut, [*cut[1:], len(size)], strict=True))
+
+
+def offset_histogram(queries: Prints, sorted_keys: list[tuple[np.ndarray, np.ndarray]], others: Prints, picks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``query, other, offset, hits``: how often windows of two recordings met at each offset."""
+    shift = int(others.length.max()) + WINDOW
+    span = shift + int(queries.length.max()) + WINDOW
+    codes, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for bits, (window, key) in zip(picks, sorted_keys, strict=True):
+        own, found = others.keys(bits)
+        low = np.searchsorted(key, found, "left")
+        count = np.searchsorted(key, found, "right") - low
+        own, low, count = own[count > 0], low[count > 0], count[count > 0]
+        for a, b in stretches(count, HELD):
+            n = count[a:b]
+            r = np.repeat(own[a:b], n)
+            q = window[np.arange(n.sum()) + np.repeat(low[a:b] - (np.cumsum(n) - n), n)]
+            met = (queries.owner[q] * len(others.ids) + others.owner[r]) * span + queries.at[q] - others.at[r] + shift
+            new, times = np.unique(met, return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            hits = np.bincount(back, np.concatenate([hits, times]), len(codes)).astype(np.int64)
+    pair, offset = codes // span, codes % span - shift
+    return pair // len(others.ids), pair % len(others.ids), offset, hits
+
+
+def bit_errors(a: Prints, b: Prints, q: np.ndarray, r: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap and share of differing bits with ``a[i + offset]`` beside ``b[i]``, for each pair of recordings."""
+    low = np.maximum(0, -offset)
+    overlap = np.maximum(0, np.minimum(b.length[r], a.length[q] - offset) - low)
+    error = np.ones(len(q))
+    for x, y in stretches(overlap, HELD):
+        n = overlap[x:y]
+        i = np.arange(n.sum()) + np.repeat(low[x:y] - (np.cumsum(n) - n), n)
+        bits = np.bitwise_count(a.flat[i + np.repeat(a.begin[q[x:y]] + offset[x:y], n)] ^ b.flat[i + np.repeat(b.begin[r[x:y]], n)])
+        total = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+        ends = np.cumsum(n)
+        error[x:y] = np.where(n > 0, (total[ends] - total[ends - n]) / (32 * np.maximum(n, 1)), 1.0)
+    return overlap, error
+
+
+MATCH = "class_id long, match_class long, offset long, hits long, overlap long, bit_error double"
+
+
+def matches_of(queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Matches of one block of queries, which is broadcast, with all classes."""
+    table = queries.select("class_id", "ints").toArrow()
+    block = classes.sparkSession.sparkContext.broadcast((table["class_id"].to_numpy(), table["ints"].to_pylist()))
+
+    def matched(batches):
+        asked = Prints(*block.value)
+        picks = samplings(len(asked.owner))
+        sorted_keys = [(w[order := np.argsort(k, kind="stable")], k[order]) for w, k in map(asked.keys, picks)]
+        for batch in batches:
+            if not batch.num_rows or not len(asked.ids):
+                continue
+            for x, y in stretches(pc.binary_length(batch["ints"]).to_numpy() // 4, PART):
+                there = Prints(batch["class_id"].to_numpy()[x:y], batch["ints"][x:y].to_pylist())
+                q, r, offset, hits = offset_histogram(asked, sorted_keys, there, picks)
+                overlap, error = bit_errors(asked, there, q, r, offset)
+                close = (error <= MOST_ERROR) & (overlap >= LEAST_OVERLAP * np.minimum(asked.length[q], there.length[r])) & (asked.ids[q] != there.ids[r])
+                q, r, offset, hits, overlap, error = (v[close] for v in (q, r, offset, hits, overlap, error))
+                order = np.lexsort([offset, np.abs(offset), -hits, error, r, q])
+                best = order[(np.diff(q[order], prepend=-1) != 0) | (np.diff(r[order], prepend=-1) != 0)]
+                columns = (asked.ids[q], there.ids[r], offset, hits, overlap, error)
+                yield pa.RecordBatch.from_arrays([pa.array(v[best]) for v in columns], ["class_id", "match_class", "offset", "hits", "overlap", "bit_error"])
+
+    return classes.select("class_id", "ints").mapInArrow(matched, MATCH)
 
 
 def align(prints: DataFrame, every: int = QUERY_EVERY) -> tuple[DataFrame, DataFrame]:
@@ -135,37 +247,14 @@ def align(prints: DataFrame, every: int = QUERY_EVERY) -> tuple[DataFrame, DataF
     classes = prints.where("print_key IS NOT NULL").groupBy("print_key").agg(F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.coalesce((F.col("rec_id") % every == 0).cast("int"), F.lit(0))).alias("asked"))
     classes = written(classes)
     members = prints.select("rec_id", "print_key").join(classes.select("print_key", "class_id"), "print_key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
-
-    def spread(batches):
-        for batch in batches:
-            key, at, own = [], [], []
-            for i, (cls, raw) in enumerate(zip(batch["class_id"].to_pylist(), batch["ints"].to_pylist(), strict=True)):
-                x = np.frombuffer(raw, "<u4").astype(np.uint64)
-                both = (x[:-1] << np.uint64(32)) | x[1:] if len(x) > 1 else x
-                # Runs of one value count once, at their first place, so that a held note isn't every offset at once.
-                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                key.append(both[first].view(np.int64))
-                at.append(first)
-                own.append(np.full(len(first), cls))
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(key) if key else np.zeros(0, np.int64), "at": np.concatenate(at) if at else np.zeros(0, np.int64), "class_id": np.concatenate(own) if own else np.zeros(0, np.int64)})
-
-    index = "key long, at long, class_id long"
-    asked = classes.where("asked = 1").select("class_id", "ints").mapInArrow(spread, index).select("key", F.col("at").alias("q_at"), "class_id")
-    there = classes.select("class_id", "ints").mapInArrow(spread, index).select("key", F.col("at").alias("r_at"), F.col("class_id").alias("match_class"))
-    meets = asked.join(there, "key").where("class_id <> match_class")
-    histogram = meets.groupBy("class_id", "match_class", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("class_id", "match_class").orderBy(F.desc("hits"), F.abs("offset"), "offset")
-    best = histogram.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    pairs = best.join(classes.select("class_id", "ints"), "class_id").join(classes.select(F.col("class_id").alias("match_class"), F.col("ints").alias("other")), "match_class")
-
-    def checked(batches):
-        for batch in batches:
-            found = [(*bit_error(a := np.frombuffer(x, "<u4"), b := np.frombuffer(y, "<u4"), o), min(len(a), len(b))) for x, y, o in zip(batch["ints"].to_pylist(), batch["other"].to_pylist(), batch["offset"].to_pylist(), strict=True)]
-            keep = pa.array([n >= LEAST_OVERLAP * least and e <= MOST_ERROR for n, e, least in found], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch["class_id"], batch["match_class"], batch["offset"], batch["hits"], pa.array([n for n, _, _ in found], pa.int64()), pa.array([e for _, e, _ in found], pa.float64())], ["class_id", "match_class", "offset", "hits", "overlap", "bit_error"])
-            yield out.filter(keep)
-
-    return members, pairs.select("class_id", "match_class", "offset", "hits", "ints", "other").mapInArrow(checked, "class_id long, match_class long, offset long, hits long, overlap long, bit_error double")
+    asked = classes.where("asked = 1 AND class_id IS NOT NULL")
+    size = asked.agg(F.sum(F.length("ints") / 4)).first()[0] or 0
+    blocks = max(1, -int(-size // BLOCK))
+    passes = [written(matches_of(asked.where(F.pmod(F.xxhash64("print_key"), F.lit(blocks)) == k), classes.where("class_id IS NOT NULL"))) for k in range(blocks)]
+    matches = passes[0]
+    for more in passes[1:]:
+        matches = matches.unionByName(more)
+    return members, matches
 
 
 _NOTES = np.sin(2 * np.pi * 220 * 2 ** (np.arange(25)[:, None] / 12) * np.arange(HOP) / RATE).astype(np.float32)
