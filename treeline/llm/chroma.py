@@ -53,7 +53,7 @@ QUERY_EVERY = 20
 #: Integers from which a sampling takes its bits; a shorter fingerprint is filled up with zeros for it.
 WINDOW = 8
 #: How often a pair with ``PLACES`` common windows at the largest error meets on average.
-MEETINGS, PLACES = 3.0, 24
+MEETINGS, PLACES = 3.0, 40
 #: Integers of the queries of one pass, of the recordings compared at a time, and meetings held at a time.
 BLOCK, PART, HELD = 1 << 21, 1 << 16, 1 << 20
 
@@ -136,7 +136,9 @@ def fingerprints(audio: DataFrame, sound_of=None) -> DataFrame:
 
 
 def samplings(places: int) -> np.ndarray:
-    """Samplings by bits: which of a window's bits each takes, for queries with so many windows."""
+    """Samplings by bits: which of a window's bits each takes, for queries with so many windows.
+
+    Unrelated windows agree in a bit more often than by halves, hence half as many bits again as tell the windows apart."""
     bits = min(60, max(12, int(np.ceil(np.log2(max(2, places))))))
     number = int(np.ceil(MEETINGS / (PLACES * (1 - MOST_ERROR) ** bits)))
     return np.random.default_rng(11).random((number, 32 * WINDOW)).argsort(1)[:, :bits]
