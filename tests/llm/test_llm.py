@@ -292,6 +292,39 @@ def test_chroma_index_against_brute_force(spark, monkeypatch):
     assert none[0].count() == none[1].count() == 0
 
 
+def prints_of(spark, prints):
+    return spark.createDataFrame([(k, p.tobytes().hex(), bytearray(p.astype("<u4").tobytes())) for k, p in prints.items()], "rec_id long, print_key string, ints binary")
+
+
+def flipped(ints, share, rng):
+    """``ints`` with that share of all bits flipped."""
+    bits = np.unpackbits(ints.view(np.uint8))
+    bits[rng.choice(len(bits), int(share * len(bits)), replace=False)] ^= 1
+    return np.packbits(bits).view(np.uint32)
+
+
+def test_chroma_finds_the_least_overlap_at_the_largest_error(spark):
+    rng = np.random.default_rng(21)
+    base = [rng.integers(0, 1 << 32, 50, dtype=np.uint32) for _ in range(1600)]
+    prints = {2 * k: p for k, p in enumerate(base)}
+    for k in range(400):
+        prints[2 * k + 1] = np.concatenate([flipped(base[k][25:], 0.19, rng), rng.integers(0, 1 << 32, 25, dtype=np.uint32)])
+    found = {(r["class_id"], r["match_class"]) for r in chroma.align(prints_of(spark, prints), every=2)[1].collect()}
+    assert np.mean([(2 * k, 2 * k + 1) in found for k in range(400)]) >= 0.9
+
+
+def test_chroma_finds_short_recordings(spark):
+    rng = np.random.default_rng(22)
+    prints = {}
+    for k in range(60):
+        prints[2 * k] = rng.integers(0, 1 << 32, 5 + k % 27, dtype=np.uint32)
+        start = (len(prints[2 * k]) + 1) // 2
+        prints[2 * k + 1] = np.concatenate([rng.integers(0, 1 << 32, 3 + k, dtype=np.uint32), flipped(prints[2 * k][:start], 0.18, rng)])
+    rows = chroma.align(prints_of(spark, prints), every=2)[1].collect()
+    found = {(r["class_id"], r["match_class"]): r["offset"] for r in rows}
+    assert len(rows) == len(found) and all(found.get((2 * k, 2 * k + 1)) == -(3 + k) for k in range(60))
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 

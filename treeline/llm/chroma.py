@@ -10,8 +10,11 @@ of a window of integers are equal; of its offsets the one with the fewest
 differing bits is kept, if enough of the shorter recording overlaps there and
 few enough bits differ. Each of several samplings takes some bits of a window:
 as many as keep chance agreements few, and as many samplings as let a pair at
-the largest allowed error meet ``MEETINGS`` times. So recall holds at any size
-while work grows slower than the square.
+the largest allowed error and the least allowed overlap of the prints at hand
+meet ``MEETINGS`` times. So recall holds at any size while work grows slower
+than the square. Pairs with a fingerprint of under ``SHORT`` integers have few
+or no windows in common and are compared at all their offsets, exactly; that
+work is the number of short fingerprints times all integers.
 
 Queries are taken in blocks of about ``BLOCK`` integers, which is all that is
 broadcast; each block meets every recording where that is, and no rows are
@@ -22,12 +25,14 @@ Defined cases: null or empty audio, and audio too short for one integer, has
 no fingerprint and is its own class without matches, a recording
 without an id has no matches; samples that aren't
 finite count as silence; a silent frame is a zero vector; of offsets with equal
-errors the one met most often wins, then the one nearest to 0, then the smaller. Other columns aren't read.
+errors the one met most often (never, for a pair compared at all offsets) wins, then the one nearest to 0, then the smaller. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +57,12 @@ MOST_ERROR = 0.2
 QUERY_EVERY = 20
 #: Integers from which a sampling takes its bits; a shorter fingerprint is filled up with zeros for it.
 WINDOW = 8
-#: How often a pair with ``PLACES`` common windows at the largest error meets on average.
-MEETINGS, PLACES = 3.0, 40
+#: How often a pair at the least overlap and the largest error meets on average.
+MEETINGS = 3.0
+#: Pairs with a fingerprint of fewer integers are compared at all offsets.
+SHORT = 32
 #: Integers of the queries of one pass, of the recordings compared at a time, and meetings held at a time.
-BLOCK, PART, HELD = 1 << 21, 1 << 16, 1 << 20
+BLOCK, PART, HELD = 1 << 21, 1 << 13, 1 << 20
 
 
 def classes_of_bins(frame: int = FRAME, rate: int = RATE) -> np.ndarray:
@@ -135,12 +142,17 @@ def fingerprints(audio: DataFrame, sound_of=None) -> DataFrame:
     return only(audio, "rec_id", "sound").mapInArrow(made, "rec_id long, print_key string, ints binary")
 
 
-def samplings(places: int) -> np.ndarray:
-    """Samplings by bits: which of a window's bits each takes, for queries with so many windows.
+def common_windows(length: int) -> int:
+    """Windows that a pair has in common at the least overlap, where the shorter fingerprint has ``length`` integers."""
+    return max(1, math.ceil(LEAST_OVERLAP * length) - WINDOW + 1)
 
-    Unrelated windows agree in a bit more often than by halves, hence half as many bits again as tell the windows apart."""
+
+def samplings(places: int, common: int) -> np.ndarray:
+    """Samplings by bits: which of a window's bits each takes, for queries with so many windows and pairs with ``common`` ones at least.
+
+    As many bits as tell the windows apart, and as many samplings as let each pair meet."""
     bits = min(60, max(12, int(np.ceil(np.log2(max(2, places))))))
-    number = int(np.ceil(MEETINGS / (PLACES * (1 - MOST_ERROR) ** bits)))
+    number = int(np.ceil(MEETINGS / (common * (1 - MOST_ERROR) ** bits)))
     return np.random.default_rng(11).random((number, 32 * WINDOW)).argsort(1)[:, :bits]
 
 
@@ -214,17 +226,39 @@ def bit_errors(a: Prints, b: Prints, q: np.ndarray, r: np.ndarray, offset: np.nd
     return overlap, error
 
 
+def short_offsets(a: Prints, b: Prints) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``query, other, offset`` of all pairs with a short fingerprint, at every offset with enough overlap."""
+    short, every = np.flatnonzero(a.length < SHORT), np.arange(len(b.ids))
+    for left, right in ((short, every), (np.flatnonzero(a.length >= SHORT), np.flatnonzero(b.length < SHORT))):
+        for x in range(0, len(left) * len(right), PART):
+            pair = np.arange(x, min(x + PART, len(left) * len(right)))
+            q, r = left[pair // len(right)], right[pair % len(right)]
+            least = np.ceil(LEAST_OVERLAP * np.minimum(a.length[q], b.length[r])).astype(np.int64)
+            lowest = least - b.length[r]
+            count = a.length[q] - least - lowest + 1
+            for y, z in stretches(count, HELD):
+                n = count[y:z]
+                yield np.repeat(q[y:z], n), np.repeat(r[y:z], n), np.arange(n.sum()) + np.repeat(lowest[y:z] - (np.cumsum(n) - n), n)
+
+
+def close_pairs(a: Prints, b: Prints, q: np.ndarray, r: np.ndarray, offset: np.ndarray, hits: np.ndarray) -> list[np.ndarray]:
+    """Those with enough overlap and few enough bit errors, with both."""
+    overlap, error = bit_errors(a, b, q, r, offset)
+    close = (error <= MOST_ERROR) & (overlap >= LEAST_OVERLAP * np.minimum(a.length[q], b.length[r])) & (a.ids[q] != b.ids[r])
+    return [v[close] for v in (q, r, offset, hits, overlap, error)]
+
+
 MATCH = "class_id long, match_class long, offset long, hits long, overlap long, bit_error double"
 
 
-def matches_of(queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Matches of one block of queries, which is broadcast, with all classes."""
+def matches_of(queries: DataFrame, classes: DataFrame, common: int) -> DataFrame:
+    """Matches of one block of queries, which is broadcast, with all classes; pairs without a short fingerprint have ``common`` windows in common at least."""
     table = queries.select("class_id", "ints").toArrow()
     block = classes.sparkSession.sparkContext.broadcast((table["class_id"].to_numpy(), table["ints"].to_pylist()))
 
     def matched(batches):
         asked = Prints(*block.value)
-        picks = samplings(len(asked.owner))
+        picks = samplings(len(asked.owner), common)
         sorted_keys = [(w[order := np.argsort(k, kind="stable")], k[order]) for w, k in map(asked.keys, picks)]
         for batch in batches:
             if not batch.num_rows or not len(asked.ids):
@@ -232,9 +266,10 @@ def matches_of(queries: DataFrame, classes: DataFrame) -> DataFrame:
             for x, y in stretches(pc.binary_length(batch["ints"]).to_numpy() // 4, PART):
                 there = Prints(batch["class_id"].to_numpy()[x:y], batch["ints"][x:y].to_pylist())
                 q, r, offset, hits = offset_histogram(asked, sorted_keys, there, picks)
-                overlap, error = bit_errors(asked, there, q, r, offset)
-                close = (error <= MOST_ERROR) & (overlap >= LEAST_OVERLAP * np.minimum(asked.length[q], there.length[r])) & (asked.ids[q] != there.ids[r])
-                q, r, offset, hits, overlap, error = (v[close] for v in (q, r, offset, hits, overlap, error))
+                long = np.minimum(asked.length[q], there.length[r]) >= SHORT
+                found = [close_pairs(asked, there, q[long], r[long], offset[long], hits[long])]
+                found += [close_pairs(asked, there, *some, np.zeros(len(some[0]), np.int64)) for some in short_offsets(asked, there)]
+                q, r, offset, hits, overlap, error = map(np.concatenate, zip(*found, strict=True))
                 order = np.lexsort([offset, np.abs(offset), -hits, error, r, q])
                 best = order[(np.diff(q[order], prepend=-1) != 0) | (np.diff(r[order], prepend=-1) != 0)]
                 columns = (asked.ids[q], there.ids[r], offset, hits, overlap, error)
@@ -250,9 +285,11 @@ def align(prints: DataFrame, every: int = QUERY_EVERY) -> tuple[DataFrame, DataF
     classes = written(classes)
     members = prints.select("rec_id", "print_key").join(classes.select("print_key", "class_id"), "print_key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
     asked = classes.where("asked = 1 AND class_id IS NOT NULL")
+    # The least overlap that the index has to find is that of the shortest fingerprint it takes.
+    shortest = classes.where(F.length("ints") >= 4 * SHORT).agg(F.min(F.length("ints"))).first()[0] or 4 * SHORT
     size = asked.agg(F.sum(F.length("ints") / 4)).first()[0] or 0
     blocks = max(1, -int(-size // BLOCK))
-    passes = [written(matches_of(asked.where(F.pmod(F.xxhash64("print_key"), F.lit(blocks)) == k), classes.where("class_id IS NOT NULL"))) for k in range(blocks)]
+    passes = [written(matches_of(asked.where(F.pmod(F.xxhash64("print_key"), F.lit(blocks)) == k), classes.where("class_id IS NOT NULL"), common_windows(shortest // 4))) for k in range(blocks)]
     matches = passes[0]
     for more in passes[1:]:
         matches = matches.unionByName(more)
