@@ -180,6 +180,22 @@ def test_decontamination_against_brute_force(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_decontamination_of_long_items_at_the_bound(spark, mixed):
+    rng = random.Random(31)
+    items = [words(n, 700 + n) for n in (100, 200, 300, 400)]
+    texts = []
+    for k in range(240):
+        w = [[x] for x in items[k % 4]]
+        for n, p in enumerate(rng.sample(range(len(w)), decontam.edit_bound(len(w)))):
+            w[p] = rng.choice([[f"z{n}"], [], [f"z{n}", *w[p]]]) if mixed else [f"z{n}"]
+        texts.append(" ".join([*words(30, 2000 + k), *(x for part in w for x in part), *words(20, 3000 + k)]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got <= {(k, k % 4) for k in range(240)}
+    assert all(np.mean([(k, i) in got for k in range(i, 240, 4)]) >= 0.9 for i in range(4)) and len(got) >= 0.95 * 240
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 

@@ -9,9 +9,11 @@ edit distance of ``floor((1 - SIMILARITY) * words)`` of the item's words.
 2. CGK embedding: a random walk reads a window word by word, at each step
    staying or moving on by a random bit of the step and the word. Small edit
    distances become small Hamming distances.
-3. Bit sampling: in each of ``repetitions()`` rounds, which follow from the
-   target recall, a few steps are compared with the item's walk; windows that
-   agree in some round are candidates.
+3. Bit sampling: in each of ``rounds()`` rounds, which follow from the target
+   recall and the item's length, a few steps are compared with the item's walk;
+   windows that agree in some round are candidates. Walks that part return
+   late, so long items need more rounds; how many is measured on made pairs at
+   the edit bound. Where ``MOST_ROUNDS`` don't do, every window is a candidate.
 4. The exact edit distance of every candidate is computed with free ends.
 
 Words are split at white space and lower-cased. Only the benchmark is sent to
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ TARGET_RECALL = 0.95
 SAMPLED = 2
 #: Share of steps on which the walks of sequences at the edit bound still agree, cautiously.
 AGREEMENT = 0.4
+#: Made pairs of each kind for the measure, and rounds and words beyond which all windows are verified.
+PAIRS, MOST_ROUNDS, MOST_WORDS = 400, 150, 800
 BLOCK_ITEMS = 20_000
 PAD = np.uint64(0xA5A5A5A5)
 BITS = 20
@@ -94,7 +99,8 @@ def prepare(ids: list[int], texts: list[str | None]) -> Items:
     for length in np.unique(lengths).tolist():
         own = np.flatnonzero(lengths == length)
         rows = np.stack([words[i] for i in own])
-        of_length[length] = own, rows, [walks(rows, seed) for seed in range(repetitions())]
+        number = rounds(length)
+        of_length[length] = own, rows, None if number is None else [walks(rows, seed) for seed in range(number)]
     return Items(np.array([i for i, _ in kept], np.int64), words, tables, of_length)
 
 
@@ -143,6 +149,54 @@ def walks(rows: np.ndarray, seed: int) -> np.ndarray:
     return np.column_stack(read)
 
 
+def made_pair(length: int, bound: int, mixed: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """An item and the window laid at one of the runs that it shares with a copy of it that has ``bound`` edits."""
+    item, other = rng.integers(1, 1 << 62, (2, length), dtype=np.uint64)
+    kind = np.zeros(length, np.int64)
+    kind[rng.choice(length, bound, replace=False)] = rng.integers(1, 4, bound) if mixed else 1
+    copy = np.where(kind == 1, other, item)
+    width = np.array([1, 1, 0, 2])[kind]  # kept, replaced, lost, with a word put before it
+    place = length + np.cumsum(width) - 1
+    text = rng.integers(1, 1 << 62, 2 * length + width.sum(), dtype=np.uint64)
+    text[place[width > 0]] = copy[width > 0]
+    q = run_length(length, bound)
+    whole = (kind == 0) | (kind == 3)
+    runs = [i for i in range(length - q + 1) if whole[i : i + q].all() and place[i + q - 1] - place[i] == q - 1]
+    at = int(rng.choice(runs)) if runs else 0
+    first = place[at] - at
+    return item, text[first : first + length]
+
+
+@cache
+def rounds_at(length: int) -> int | None:
+    """The least rounds in which ``TARGET_RECALL`` of made pairs agree (and two standard errors more); None where they are too many."""
+    bound = edit_bound(length)
+    if length > MOST_WORDS:
+        return None
+    number = repetitions()
+    aim = min(1.0, TARGET_RECALL + 2 * math.sqrt(TARGET_RECALL * (1 - TARGET_RECALL) / PAIRS))
+    for mixed in (False, True):
+        rng = np.random.default_rng((length, mixed))
+        rows = [np.stack(x) for x in zip(*(made_pair(length, bound, mixed, rng) for _ in range(PAIRS)), strict=True)]
+        met = np.zeros(PAIRS, bool)
+        for seed in range(MOST_ROUNDS):
+            met |= (walks(rows[0], seed) == walks(rows[1], seed)).all(1)
+            if seed + 1 >= number and met.mean() >= aim:
+                break
+        else:
+            return None
+        number = seed + 1
+    return number
+
+
+def rounds(length: int) -> int | None:
+    """Rounds for items of ``length`` words: those measured at the next of lengths that grow by an eighth."""
+    grid = 16
+    while grid < length:
+        grid += max(1, grid // 8)
+    return rounds_at(grid)
+
+
 def edit_distances(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Least edit distance of each item row to any stretch of the matching region row."""
     count, width = rows.shape
@@ -167,12 +221,13 @@ def matches(items: Items, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         part = np.flatnonzero(lengths == length)
         bound = edit_bound(int(length))
         own, model, model_walks = items.of_length[int(length)]
-        for a in range(0, len(part), 20_000):
-            p = part[a : a + 20_000]
+        step = max(1, min(20_000, 4_000_000 // int(length)))
+        for a in range(0, len(part), step):
+            p = part[a : a + step]
             place = np.searchsorted(own, item[p])
             rows = gathered(hashes, first[p], starts[doc[p]], starts[doc[p] + 1], int(length))
-            near = np.zeros(len(p), bool)
-            for seed, walk in enumerate(model_walks):
+            near = np.full(len(p), model_walks is None)
+            for seed, walk in enumerate(model_walks or []):
                 far = np.flatnonzero(~near)
                 near[far] = (walks(rows[far], seed) == walk[place[far]]).all(1)
             p, place = p[near], place[near]
