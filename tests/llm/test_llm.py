@@ -221,6 +221,19 @@ def test_encoder_equals_tokenizer(text):
     assert ids[starts[2] :].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1] and ids[starts[1] : starts[2]].tolist() == [1]
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(Q.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n", "  a\t<|endoftext|>  b\n\nc", "a <|endoftext| > b", "plain text", "w " * 3000 + "<|endoftext|> z"]
+    rows = packing.pack_documents(docs_of(spark, texts), Q.tokenizer_path()).toPandas()
+    for k, text in enumerate(texts):
+        ids = np.array([*model.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = rows[rows.doc_id == k].sort_values("start")
+        assert own.length.sum() == len(ids) and (own.doc_tokens == len(ids)).all()
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)]
+
+
 def test_vector_packing_keeps_every_limit():
     rng = np.random.default_rng(2)
     tokens = rng.integers(1, 900, 400)

@@ -11,7 +11,8 @@ Pieces are dealt at random into groups of about ``GROUP`` and each group is
 packed by one task, so a task's work is bounded and padding doesn't depend on
 the size of the input.
 
-Defined cases: a null or empty text is the end token alone; an item that
+Defined cases: a null or empty text is the end token alone; the tokenizer
+file's added tokens have their own ids wherever a text holds them; an item that
 exceeds a limit raises an error; repeated rows are packed as items of their
 own; an empty table gives no rows.
 """
@@ -19,6 +20,7 @@ own; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable
 from pathlib import Path
@@ -110,22 +112,40 @@ def byte_level(tokenizer: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), widths
 
 
-def encoder(tokenizer: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The ids of the file's added tokens, which are found in a text before anything else, the longest first."""
+    stored = json.loads(Path(tokenizer).read_text(encoding="utf-8")).get("added_tokens", [])
+    if any(t.get(k) for t in stored for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes in what is beside it")
+    return {t["content"]: t["id"] for t in sorted(stored, key=lambda t: -len(t["content"]))}
+
+
+def encoder(tokenizer: str, added: bool = False) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to all their ids and each text's offsets, with the end id after each.
 
     A single space always begins a new word of the pattern and a single line
     feed is a word by itself. So texts without other or doubled white space
     are cut there, and each distinct part is encoded once: those with a space
     one after another, those without after a line feed each. The bytes of the
-    ids tell where a part ends. Other texts are encoded as they are.
+    ids tell where a part ends. Other texts are encoded as they are. With
+    ``added``, a text is cut at the added tokens, which get their own ids;
+    without, they are text like any other.
     """
     model, widths = byte_level(tokenizer)
+    own_ids = added_tokens(tokenizer) if added else {}
+    marks = re.compile(f"({'|'.join(map(re.escape, own_ids))})")
     lone = {p: model.encode_to_numpy(p) for p in ("\n", " ")}
     none = np.zeros(0, np.uint32)
 
+    def alone(text: str) -> list[np.ndarray]:
+        parts = marks.split(text) if own_ids else [text]
+        return [np.array([own_ids[p]], np.uint32) if k % 2 else model.encode_to_numpy(p) for k, p in enumerate(parts)]
+
     def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         given = pc.fill_null(pa.array(texts, pa.large_string()), "")
         odd = pc.match_substring_regex(given, ODD_SPACE)
+        for content in own_ids:
+            odd = pc.or_(odd, pc.match_substring(given, content))
         plain = pc.if_else(odd, "", given)
         lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
         parts, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
@@ -151,7 +171,7 @@ def encoder(tokenizer: str) -> Callable[[list[str | None]], tuple[np.ndarray, np
         every = ids[np.repeat(begins[codes] - stops[:-1], count) + np.arange(stops[-1])]
         out, last = [], np.array([END], np.uint32)
         for k, (text, o) in enumerate(zip(texts, odd.to_pylist(), strict=True)):
-            out += [model.encode_to_numpy(text) if o else every[stops[ends[k]] : stops[ends[k + 1]]], last]
+            out += [np.concatenate(alone(text)) if o else every[stops[ends[k]] : stops[ends[k + 1]]], last]
         lengths = np.fromiter(map(len, out), np.int64, len(out))
         return np.concatenate([none, *out]), np.concatenate([[0], np.cumsum(lengths)[1::2]])
 
@@ -162,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """``doc_id, start, tokens, loss_tokens, ids_crc32, doc_tokens`` of every piece: full ones, then the tail."""
 
     def cut(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         for part in slices(batches, most=4 << 20):
             ids, starts = encode(part["text"].to_pylist())
             number = np.diff(starts)
