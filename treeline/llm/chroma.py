@@ -8,24 +8,32 @@ quantised to two bits each and packed into one 32-bit integer per frame.
 Two recordings are aligned by the histogram of offsets at which sampled bits
 of a window of integers are equal; of its offsets the one with the fewest
 differing bits is kept, if enough of the shorter recording overlaps there and
-few enough bits differ. Each of several samplings takes some bits of a window:
-as many as keep chance agreements few, and as many samplings as let a pair at
-the largest allowed error and the least allowed overlap of the prints at hand
-meet ``MEETINGS`` times. So recall holds at any size while work grows slower
-than the square. Pairs with a fingerprint of under ``SHORT`` integers have few
-or no windows in common and are compared at all their offsets, exactly; that
-work is the number of short fingerprints times all integers.
-
-Queries are taken in blocks of about ``BLOCK`` integers, which is all that is
-broadcast; each block meets every recording where that is, and no rows are
-shuffled. Recordings with equal fingerprints are one class, represented by its
-least id, so copies are found by membership and aligned once.
+few enough bits differ. Each of several samplings takes some bits of a window,
+spread over its integers, from those that are 0 and 1 about equally often.
+How many bits follows from a bounded sample of the prints, by least work: more
+bits mean fewer chance meetings, but need more samplings for a pair at the
+largest allowed error and the least allowed overlap to meet ``MEETINGS``
+times. A meeting counts in the histogram if its whole windows are close.
+Pairs with a fingerprint of under ``SHORT`` integers have few or no windows in
+common and are compared at all their offsets, exactly; that work is the number
+of short fingerprints times all integers.
+
+Queries are taken in blocks of about ``BLOCK`` integers. A block's sorted keys
+are made once and broadcast, which ``BLOCK`` bounds; each block meets every
+recording where that is, and no rows are shuffled, as the samplings of all
+windows would be many times the prints. Recordings with equal fingerprints are
+one class, represented by its least id, so copies are found by membership and
+aligned once.
 
 Defined cases: null or empty audio, and audio too short for one integer, has
 no fingerprint and is its own class without matches, a recording
-without an id has no matches; samples that aren't
-finite count as silence; a silent frame is a zero vector; of offsets with equal
-errors the one met most often (never, for a pair compared at all offsets) wins, then the one nearest to 0, then the smaller. Other columns aren't read.
+without an id has no matches; samples that aren't finite count as silence; a
+silent frame is a zero vector; of offsets with equal errors the one met most
+often (never, for a pair compared at all offsets) wins, then the one nearest
+to 0, then the smaller. Rows that repeat an id are recordings of their own:
+each has a row of membership, and matches of that id are those of any of its
+fingerprints. An empty table has no members and no matches. Other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -61,8 +69,14 @@ WINDOW = 8
 MEETINGS = 3.0
 #: Pairs with a fingerprint of fewer integers are compared at all offsets.
 SHORT = 32
+#: Share of differing bits above which windows with equal sampled bits don't count as met.
+WINDOW_ERROR = 0.26
+#: Bits of an integer that are sampled, those nearest to being 1 half of the time.
+BALANCED = 20
+#: Least and most bits of a sampling, and prints from which the number is chosen.
+LEAST_BITS, MOST_BITS, SAMPLE = 12, 32, 4096
 #: Integers of the queries of one pass, of the recordings compared at a time, and meetings held at a time.
-BLOCK, PART, HELD = 1 << 21, 1 << 13, 1 << 20
+BLOCK, PART, HELD = 1 << 18, 1 << 15, 1 << 20
 
 
 def classes_of_bins(frame: int = FRAME, rate: int = RATE) -> np.ndarray:
@@ -147,15 +161,6 @@ def common_windows(length: int) -> int:
     return max(1, math.ceil(LEAST_OVERLAP * length) - WINDOW + 1)
 
 
-def samplings(places: int, common: int) -> np.ndarray:
-    """Samplings by bits: which of a window's bits each takes, for queries with so many windows and pairs with ``common`` ones at least.
-
-    As many bits as tell the windows apart, and as many samplings as let each pair meet."""
-    bits = min(60, max(12, int(np.ceil(np.log2(max(2, places))))))
-    number = int(np.ceil(MEETINGS / (common * (1 - MOST_ERROR) ** bits)))
-    return np.random.default_rng(11).random((number, 32 * WINDOW)).argsort(1)[:, :bits]
-
-
 class Prints:
     """Fingerprints laid in a row, each with its windows."""
 
@@ -171,12 +176,14 @@ class Prints:
         windows = filled - WINDOW + 1
         self.owner = np.repeat(np.arange(len(ints)), windows)
         self.at = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.place = self.begin[self.owner] + self.at
+        self.double = self.flat[:-1].astype(np.uint64) << np.uint64(32) | self.flat[1:] if len(self.flat) else np.zeros(0, np.uint64)
 
     def keys(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows with their sampled bits. Runs of one value count once, at their first place, so that a held note isn't every offset at once."""
-        place, key = self.begin[self.owner] + self.at, np.zeros(len(self.owner), np.int64)
+        key = np.zeros(len(self.owner), np.int64)
         for b in bits.tolist():
-            key = (key << 1) | ((self.flat[place + b // 32] >> np.uint32(b % 32)) & np.uint32(1))
+            key = (key << 1) | ((self.flat[self.place + b // 32] >> np.uint32(b % 32)) & np.uint32(1))
         kept = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(self.owner, prepend=-1) != 0))
         return kept, key[kept]
 
@@ -189,24 +196,68 @@ def stretches(size: np.ndarray, most: int) -> list[tuple[int, int]]:
     return list(zip(cut, [*cut[1:], len(size)], strict=True))
 
 
-def offset_histogram(queries: Prints, sorted_keys: list[tuple[np.ndarray, np.ndarray]], others: Prints, picks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``query, other, offset, hits``: how often windows of two recordings met at each offset."""
+def spread_bits(count: int, bits: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """``count`` different bits of a window, as evenly from its integers and from ``bits`` of them as can be."""
+    rounds = lambda every: np.concatenate([rng.permutation(every) for _ in range(-(-count // len(every)))])[:count]
+    taken = np.zeros(0, np.int64)
+    while len(taken) < count:
+        taken = np.unique(rounds(np.arange(WINDOW)) * 32 + rounds(bits))
+    return taken
+
+
+def meeting_counts(own: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``found`` begins in the sorted keys ``own``, and how often it is there."""
+    low = np.searchsorted(own, found, "left")
+    return low, np.searchsorted(own, found, "right") - low
+
+
+def samplings(queries: Prints, sample: Prints, common: int) -> list[np.ndarray]:
+    """The bits that each sampling takes, for pairs with ``common`` windows in common at least.
+
+    The number of bits is the one with the least work: samplings times one look-up and its meetings for each window.
+    """
+    if not len(queries.ids) or not len(sample.ids):
+        return []
+    ones = np.array([(sample.flat >> np.uint32(b) & np.uint32(1)).mean() for b in range(32)])
+    bits = np.argsort(np.abs(ones - 0.5), kind="stable")[:BALANCED]
+    best = (math.inf, 0, 0)
+    for count in range(LEAST_BITS, MOST_BITS + 1):
+        number = math.ceil(MEETINGS / (common * (1 - MOST_ERROR) ** count))
+        if number >= best[0]:
+            break
+        pick = spread_bits(count, bits, np.random.default_rng((3, count)))
+        found = sample.keys(pick)[1]
+        met = meeting_counts(np.sort(queries.keys(pick)[1]), found)[1].sum() / max(1, len(found))
+        best = min(best, (number * (1 + met), count, number))
+    rng = np.random.default_rng(11)
+    return [spread_bits(best[1], bits, rng) for _ in range(best[2])]
+
+
+def window_errors(a: Prints, b: Prints, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Share of differing bits of windows ``q`` of ``a`` and ``r`` of ``b``."""
+    x, y, total = a.place[q], b.place[r], np.zeros(len(q), np.int64)
+    for k in range(0, WINDOW, 2):
+        total += np.bitwise_count(a.double[x + k] ^ b.double[y + k])
+    return total / (32 * WINDOW)
+
+
+def offset_histogram(queries: Prints, index: list[tuple[np.ndarray, ...]], others: Prints) -> tuple[np.ndarray, ...]:
+    """``query, other, offset, hits``: how often close windows of two recordings met at each offset."""
     shift = int(others.length.max()) + WINDOW
     span = shift + int(queries.length.max()) + WINDOW
-    codes, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for bits, (window, key) in zip(picks, sorted_keys, strict=True):
+    met = [np.zeros(0, np.int64)]
+    for bits, window, key in index:
         own, found = others.keys(bits)
-        low = np.searchsorted(key, found, "left")
-        count = np.searchsorted(key, found, "right") - low
+        low, count = meeting_counts(key, found)
         own, low, count = own[count > 0], low[count > 0], count[count > 0]
         for a, b in stretches(count, HELD):
             n = count[a:b]
             r = np.repeat(own[a:b], n)
             q = window[np.arange(n.sum()) + np.repeat(low[a:b] - (np.cumsum(n) - n), n)]
-            met = (queries.owner[q] * len(others.ids) + others.owner[r]) * span + queries.at[q] - others.at[r] + shift
-            new, times = np.unique(met, return_counts=True)
-            codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            hits = np.bincount(back, np.concatenate([hits, times]), len(codes)).astype(np.int64)
+            close = window_errors(queries, others, q, r) <= WINDOW_ERROR
+            q, r = q[close], r[close]
+            met.append((queries.owner[q] * len(others.ids) + others.owner[r]) * span + queries.at[q] - others.at[r] + shift)
+    codes, hits = np.unique(np.concatenate(met), return_counts=True)
     pair, offset = codes // span, codes % span - shift
     return pair // len(others.ids), pair % len(others.ids), offset, hits
 
@@ -251,21 +302,27 @@ def close_pairs(a: Prints, b: Prints, q: np.ndarray, r: np.ndarray, offset: np.n
 MATCH = "class_id long, match_class long, offset long, hits long, overlap long, bit_error double"
 
 
-def matches_of(queries: DataFrame, classes: DataFrame, common: int) -> DataFrame:
-    """Matches of one block of queries, which is broadcast, with all classes; pairs without a short fingerprint have ``common`` windows in common at least."""
-    table = queries.select("class_id", "ints").toArrow()
-    block = classes.sparkSession.sparkContext.broadcast((table["class_id"].to_numpy(), table["ints"].to_pylist()))
+def matches_of(queries: DataFrame, classes: DataFrame, sample: Prints, common: int) -> DataFrame:
+    """Matches of one block of queries with all classes; pairs without a short fingerprint have ``common`` windows in common at least."""
+    table = queries.select("class_id", "ints").toArrow()  # about BLOCK integers
+    ids, raw = table["class_id"].to_numpy(), table["ints"].to_pylist()
+    asked = Prints(ids, raw)
+    index = []
+    for bits in samplings(asked, sample, common):
+        window, key = asked.keys(bits)
+        order = np.argsort(key, kind="stable")
+        index.append((bits, window[order].astype(np.int32), key[order]))
+    block = classes.sparkSession.sparkContext.broadcast((ids, raw, index))
 
     def matched(batches):
-        asked = Prints(*block.value)
-        picks = samplings(len(asked.owner), common)
-        sorted_keys = [(w[order := np.argsort(k, kind="stable")], k[order]) for w, k in map(asked.keys, picks)]
+        ids, raw, index = block.value
+        asked = Prints(ids, raw)
         for batch in batches:
             if not batch.num_rows or not len(asked.ids):
                 continue
             for x, y in stretches(pc.binary_length(batch["ints"]).to_numpy() // 4, PART):
                 there = Prints(batch["class_id"].to_numpy()[x:y], batch["ints"][x:y].to_pylist())
-                q, r, offset, hits = offset_histogram(asked, sorted_keys, there, picks)
+                q, r, offset, hits = offset_histogram(asked, index, there)
                 long = np.minimum(asked.length[q], there.length[r]) >= SHORT
                 found = [close_pairs(asked, there, q[long], r[long], offset[long], hits[long])]
                 found += [close_pairs(asked, there, *some, np.zeros(len(some[0]), np.int64)) for some in short_offsets(asked, there)]
@@ -280,19 +337,23 @@ def matches_of(queries: DataFrame, classes: DataFrame, common: int) -> DataFrame
 
 def align(prints: DataFrame, every: int = QUERY_EVERY) -> tuple[DataFrame, DataFrame]:
     """Membership ``rec_id, class_id`` of all, and matches ``class_id, match_class, offset, hits, overlap, bit_error`` of the classes that hold a query."""
-    prints = written(prints)
-    classes = prints.where("print_key IS NOT NULL").groupBy("print_key").agg(F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.coalesce((F.col("rec_id") % every == 0).cast("int"), F.lit(0))).alias("asked"))
-    classes = written(classes)
+    prints = written(only(prints, "rec_id", "print_key", "ints"))
+    asks = F.max(F.coalesce((F.col("rec_id") % every == 0).cast("int"), F.lit(0)))
+    classes = written(prints.where("print_key IS NOT NULL").groupBy("print_key").agg(F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"), asks.alias("asked")))
     members = prints.select("rec_id", "print_key").join(classes.select("print_key", "class_id"), "print_key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
-    asked = classes.where("asked = 1 AND class_id IS NOT NULL")
+    known = classes.where("class_id IS NOT NULL")
     # The least overlap that the index has to find is that of the shortest fingerprint it takes.
-    shortest = classes.where(F.length("ints") >= 4 * SHORT).agg(F.min(F.length("ints"))).first()[0] or 4 * SHORT
+    long = known.where(F.length("ints") >= 4 * SHORT)
+    shortest = long.agg(F.min(F.length("ints"))).first()[0] or 4 * SHORT
+    table = long.orderBy(F.xxhash64("print_key")).limit(SAMPLE).select("class_id", "ints").toArrow()
+    sample = Prints(table["class_id"].to_numpy(), table["ints"].to_pylist())
+    asked = known.where("asked = 1")
     size = asked.agg(F.sum(F.length("ints") / 4)).first()[0] or 0
     blocks = max(1, -int(-size // BLOCK))
-    passes = [written(matches_of(asked.where(F.pmod(F.xxhash64("print_key"), F.lit(blocks)) == k), classes.where("class_id IS NOT NULL"), common_windows(shortest // 4))) for k in range(blocks)]
-    matches = passes[0]
-    for more in passes[1:]:
-        matches = matches.unionByName(more)
+    matches = None
+    for k in range(blocks):
+        part = written(matches_of(asked.where(F.pmod(F.xxhash64("print_key"), F.lit(blocks)) == k), known, sample, common_windows(shortest // 4)))
+        matches = part if matches is None else matches.unionByName(part)
     return members, matches
 
 
