@@ -23,7 +23,11 @@ texts; ``links`` counts the other documents with an equal or linked text.
 Defined cases: null texts and texts without words are linked to nothing and
 are their own class; texts of fewer than five words have one shingle, all
 their words; repeated rows count as documents each; rows that share a doc_id
-with different texts are members of their own. Other columns aren't read.
+with different texts are members of their own; a row with a null doc_id is a
+member like any other, and only a class in which every id is null has a null
+class_id. Two classes can have one class_id where rows share a doc_id, so
+``kept`` marks, by row, what to keep of each class. An empty table gives no
+rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -84,7 +88,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, sketch`` of every document; the sketch is null where the text has no words."""
+    """``doc_id, key, sketch`` of every row; the sketch is null where the text has no words."""
 
     def made(batches):
         for part in slices(batches):
@@ -212,7 +216,8 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
     sized = groups.join(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = sized.select(F.col("id").alias("rep"), "component", "blocks", "block").join(reps.select("rep", "key", "doc_id", "copies"), "rep")
     texts = only(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("key"), "text")
-    texts = members.join(texts, ["doc_id", "key"]).select("rep", "component", "blocks", "block", "copies", "text")
+    own = (members["key"] == texts["key"]) & members["doc_id"].eqNullSafe(texts["doc_id"])
+    texts = members.join(texts, own).select("rep", "component", "blocks", "block", "copies", "text")
 
     def sets(batches):
         for part in slices(batches):
@@ -252,7 +257,7 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, links`` of every document."""
+    """``doc_id, key, class_id, links, kept`` of every row: ``key`` is the text's MD5; ``kept`` is true for one doc_id and key of each class (least doc_id, then key)."""
     every = written(sketched(docs))
     keyed = every.where("sketch IS NOT NULL")
     reps = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
@@ -262,8 +267,10 @@ def join(docs: DataFrame) -> DataFrame:
     exact = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classed = reps.select("rep", "key", "doc_id", "copies").join(exact.select(F.col("id").alias("rep"), "component"), "rep", "left").join(counts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    by_key = written(classed.join(least, "component").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    known = keyed.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "links")
-    wordless = every.where("sketch IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
+    least = classed.groupBy("component").agg(first.alias("first"))
+    by_key = written(classed.join(least, "component").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    kept = (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    known = keyed.select("doc_id", "key").join(by_key, "key").select("doc_id", "key", "class_id", "links", kept.alias("kept"))
+    wordless = every.where("sketch IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
     return known.unionByName(wordless)

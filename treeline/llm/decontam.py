@@ -17,17 +17,23 @@ edit distance of ``floor((1 - SIMILARITY) * words)`` of the item's words.
 4. The exact edit distance of every candidate is computed with free ends.
 
 Words are split at white space and lower-cased. Only the benchmark is sent to
-tasks, at most ``BLOCK_ITEMS`` items at a time; a larger one takes more
-passes over the documents. Documents are read whole and never move.
+tasks, about ``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` of text at a time; a
+larger one takes more passes over the documents. Documents are read whole and
+never move.
 
 Defined cases: null or empty texts match nothing; items that are null or
 without words are left out; equal items each report; the same item twice in a
-document is one row with its best place (least distance, then first).
+document is one row with its best place (least distance, then first). Every
+row of the documents is judged by itself, so repeated rows, repeated ids and
+null ids each report or stay on their own. No documents or no items give no
+matches and leave every document. ``contaminated`` reads no other columns;
+``clean`` carries them all, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -45,7 +51,7 @@ SAMPLED = 2
 AGREEMENT = 0.4
 #: Made pairs of each kind for the measure, and rounds and words beyond which all windows are verified.
 PAIRS, MOST_ROUNDS, MOST_WORDS = 400, 150, 800
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 PAD = np.uint64(0xA5A5A5A5)
 BITS = 20
 
@@ -245,15 +251,20 @@ def matches(items: Items, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return tuple(every[lead].T)
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items of a benchmark, in blocks of bounded size."""
+    known = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield prepare([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, distance, item_words, first_word`` of every document and item within the bound."""
-    known = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-known.count() // BLOCK_ITEMS))
     out = None
-    for block in range(blocks):
-        # About BLOCK_ITEMS items a pass, so what the driver and the tasks hold is bounded.
-        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = prepare([r["item_id"] for r in rows], [r["text"] for r in rows])
+    for items in item_blocks(benchmark):
         sizes = np.array([len(w) for w in items.words], np.int64)
 
         def found(batches, items=items, sizes=sizes):
@@ -264,3 +275,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = only(docs, "doc_id", "text").mapInArrow(found, "doc_id long, item_id long, distance long, item_words long, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, all columns as they are; one pass over them for each block of items, without a join."""
+    for items in item_blocks(benchmark):
+
+        def free(batches, items=items):
+            for part in slices(batches):
+                keep = np.ones(part.num_rows, bool)
+                keep[matches(items, part["text"].to_pylist())[0]] = False
+                yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(free, docs.schema)
+    return docs

@@ -8,14 +8,20 @@ one-versus-rest kernel ridge regression on it gives a score per language.
 A batch is scored by two matrix products: n-gram presence by landmark
 presence, then normalised kernel values by the ridge weights.
 
-Fitting reads at most ``PER_LANG`` texts of each language (chosen by a hash
-of the id), of which ``LANDMARKS`` are landmarks. Scoring is one pass over
-whole texts and moves no rows.
+Every language with a learnable row is learned. Fitting reads at most
+``PER_LANG`` texts of each (chosen by a hash of id and text; fewer where many
+languages share ``SAMPLE_ROWS``), as the n-grams that occur in them, of which
+``LANDMARKS`` are landmarks (fewer where many languages share
+``MOST_LANDMARKS``; one of each at least). Scoring is one pass over whole
+texts and moves no rows.
 
 Defined cases: a text that is null, empty or without a letter is ``und``
 with score 0; with no learnable row every text is ``und``; rows with a null
-language or text are not learned from; ties go to the language that sorts
-first. Extra columns of the input are carried through unchanged.
+language or text are not learned from, those with a null id are (as long as
+fold 0 isn't held out); rows that repeat id and text are learned from once and
+identified alike; ties go to the language that sorts first; an empty table
+gives no rows. Extra columns of the input are carried through unchanged, but
+for ``lang_predicted`` and ``lang_score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ ORDERS = (1, 2, 3)
 SPACE = 1 << 18
 PER_LANG = 250
 LANDMARKS = 24
-#: Languages learned at most: those with most rows.
-MOST_LANGS = 200
+#: Rows that are learned from, and landmarks, of all languages together.
+SAMPLE_ROWS, MOST_LANDMARKS = 8192, 2048
 RIDGE = 0.05
 BATCH = 128
 UNKNOWN = "und"
@@ -79,52 +85,69 @@ def augmented(kernel: np.ndarray) -> np.ndarray:
     return np.hstack([kernel, np.ones((len(kernel), 1))])
 
 
-def train(texts: list[str], langs: list[str]) -> LanguageModel:
-    """Nyström ridge regression: minimise |K w - y|^2 + ridge w' K_mm w for each language against the rest."""
+def train(found: list[np.ndarray], langs: list[str]) -> LanguageModel:
+    """Nyström ridge regression: minimise |K w - y|^2 + ridge w' K_mm w for each language against the rest.
+
+    ``found`` has each text's n-gram places."""
     names = sorted(set(langs))
-    y = np.array([[lang == n for n in names] for lang in langs], float)
-    chosen = [i for n in names for i in [k for k, lang in enumerate(langs) if lang == n][:LANDMARKS]]
-    marks = np.stack([present(texts[i]) for i in chosen])
-    places = np.flatnonzero(marks.any(0))
-    landmarks = marks[:, places].T.astype(np.float32)
-    norms = np.sqrt(marks.sum(1, dtype=np.float64))
+    number = {n: k for k, n in enumerate(names)}
+    y = np.zeros((len(langs), len(names)))
+    y[np.arange(len(langs)), [number[x] for x in langs]] = 1
+    most = min(LANDMARKS, max(1, MOST_LANDMARKS // len(names)))
+    order = np.argsort(y.argmax(1), kind="stable")
+    own = y.argmax(1)[order]
+    chosen = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+    places = np.unique(np.concatenate([found[i] for i in chosen]))
+    landmarks, norms = np.zeros((len(places), len(chosen)), np.float32), np.sqrt([float(len(found[i])) for i in chosen])
+    for k, i in enumerate(chosen):
+        landmarks[np.searchsorted(places, found[i]), k] = 1
     between = landmarks.T.astype(np.float64) @ landmarks / np.outer(norms, norms)
-    rows = []
-    for a in range(0, len(texts), BATCH):
-        found = [present(t) for t in texts[a : a + BATCH]]
-        rows.append(np.stack([f[places] for f in found]).astype(np.float32) @ landmarks / (np.sqrt([np.count_nonzero(f) for f in found])[:, None] * norms))
-    kernel = augmented(np.vstack(rows))
-    balance = (len(y) / (len(names) * np.maximum(1, y.sum(0))))[y.argmax(1)]
-    penalty = np.zeros((len(norms) + 1, len(norms) + 1))
-    penalty[:-1, :-1] = RIDGE * (between + 1e-6 * np.eye(len(norms)))
-    left = kernel.T @ (kernel * balance[:, None]) + penalty + 1e-9 * np.eye(len(penalty))
-    return LanguageModel(names, places, landmarks, norms, np.linalg.solve(left, kernel.T @ (y * balance[:, None])))
+    balance = (len(y) / (len(names) * y.sum(0)))[y.argmax(1)]
+    left, right = np.zeros((len(norms) + 1, len(norms) + 1)), np.zeros((len(norms) + 1, len(names)))
+    left[:-1, :-1] = RIDGE * (between + 1e-6 * np.eye(len(norms)))
+    left += 1e-9 * np.eye(len(left))
+    for a in range(0, len(found), BATCH):
+        part = found[a : a + BATCH]
+        presence = np.zeros((len(part), SPACE), np.uint8)
+        for k, f in enumerate(part):
+            presence[k, f] = 1
+        rows = presence[:, places].astype(np.float32) @ landmarks / (np.sqrt([len(f) for f in part])[:, None] * norms)
+        kernel, weight = augmented(rows), balance[a : a + BATCH, None]
+        left += kernel.T @ (kernel * weight)
+        right += kernel.T @ (y[a : a + BATCH] * weight)
+    return LanguageModel(names, places, landmarks, norms, np.linalg.solve(left, right))
 
 
 def fit(docs: DataFrame, folds: int = 3, held_out: int = 1, per_lang: int = PER_LANG) -> LanguageModel:
     """Learn from the text and language of documents outside the held-out fold."""
     known = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & (fold("doc_id", folds) != held_out))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((1, 0)))
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // len(counts)))
     # A share of each language by a hash, so that no sort moves the texts; twice the aim, cut to the bound below.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / r["count"]))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    ids = known.where(place < F.try_element_at(share, F.col("lang"))).select("doc_id", "lang", place.alias("place"))
-    # About 2 * per_lang ids a language are left, so the windows and the broadcast are bounded.
-    top = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("n") <= per_lang)
-    rows = known.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi").orderBy("doc_id").toArrow()
-    texts, langs, taken = [], [], {}
-    for text, lang in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True):
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= per_lang:
-            texts.append(text)
-            langs.append(lang)
-    return train(texts, langs)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / r["count"] + 1e-9))])
+    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    some = known.where(place < F.try_element_at(share, F.col("lang")))
+    # About 2 * per_lang keys a language are left; rows that repeat id and text count once, also where they are read.
+    keys = some.select("lang", "h").distinct()
+    top = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang).drop("n")
+    taken = some.join(F.broadcast(top), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    def occurring(batches):
+        for batch in batches:
+            for part in slices([batch]):
+                places = [np.flatnonzero(present(t)).astype(np.int32) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_pydict({"lang": part["lang"], "h": part["h"], "places": pa.array(places, pa.list_(pa.int32()))})
+
+    table = taken.mapInArrow(occurring, "lang string, h long, places array<int>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    return train([x.values.to_numpy() for x in table["places"]], table["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with ``lang_predicted`` and ``lang_score``."""
+    docs = docs.drop("lang_predicted", "lang_score")
     schema = docs.select("*", F.lit("").alias("lang_predicted"), F.lit(0.0).alias("lang_score")).schema
 
     def found(batches):

@@ -6,16 +6,19 @@ average of its features' learned vectors. Vectors and output layer are
 trained together by stochastic gradient descent in numpy.
 
 Fitting reads at most ``per_class`` labelled texts of each class, chosen by
-a hash of the id. The sample is weighted back to the label frequencies of
+a hash of the id, one text an id. The sample is weighted back to the label frequencies of
 all learnable rows, so scores stay probabilities. Scoring is one pass over
 the texts and moves no rows.
 
 Defined cases: null and empty texts have no features and score by the
 output bias alone (a text with no words is as likely as the bias says);
 null labels and labels outside 0 and 1 are not learned from; a doc_id with
-contradicting labels is learned from with each of them; with no learnable
-row, or only one class, every text scores the share of label 1 (0.5 with no
-label at all). Extra columns of the input are carried through unchanged.
+contradicting labels is learned from with each of them; of a doc_id with
+several texts one is learned from (least hash); repeated rows score alike, and
+equal scores are judged alike; with no learnable row, or only one class, every
+text scores the share of label 1 (0.5 with no label at all); an empty table
+gives no rows. Extra columns of the input are carried through unchanged, but
+for ``quality_score`` and ``quality_predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -148,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
         share = 0.5 if not counts else float(next(iter(counts)))
         return QualityModel(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2)), np.log(np.clip([1 - share, share], 1e-6, 1)))
     top = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    # At most per_class ids a class are broadcast, and one text of each is kept, so repeated ids can't flood the driver.
     sample = only(docs, "doc_id", "text").join(F.broadcast(top[0].unionByName(top[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches):
         for batch in batches:
@@ -167,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` with ``quality_score`` and ``quality_predicted`` (1 from the threshold on)."""
+    docs = docs.drop("quality_score", "quality_predicted")
     schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0).alias("quality_predicted")).schema
 
     def scored(batches):

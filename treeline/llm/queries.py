@@ -65,7 +65,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosenpath.join(table(spark, sf_dir, "documents"))
+    return chosenpath.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,18 @@ the longest covering pattern with one decides.
 
 The as-of join is an equality join: an interval is laid out over the months
 it touches and meets the distinct (pattern, day) pairs of the captures there,
-so hot hosts are joined once a day and not once a capture.
+so hot hosts are joined once a day and not once a capture. Only the join that
+brings the hits back to the distinct URLs of a day has all URLs of a hot host
+and day under one key; adaptive execution splits it where it is skewed, as the
+side of the hits has one row a key.
 
 Defined cases: a URL without a host, or null, or a null fetch date is kept
 and matches nothing; entries without pattern, date or status are left out;
 several entries of a pattern on one day: ``block`` beats ``allow`` beats
 ``none``; status ``none`` ends an entry; ties in pattern length are between a
 host and a host with path, where the path wins by being longer; an empty list
-keeps every capture. Repeated captures are rows of their own.
+keeps every capture. Repeated captures are rows of their own; an empty table
+of captures gives no rows; other columns are carried through unchanged.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import only
+from treeline.llm.common import only, unused
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
@@ -49,22 +53,24 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``captures`` with ``matched_pattern``, ``matched_from`` and ``blocked``; it has ``url`` and ``fetched_on``."""
+    """``captures`` with ``matched_pattern``, ``matched_from`` and ``blocked`` (replaced where it has such columns); it has ``url`` and ``fetched_on``."""
+    captures = captures.drop("matched_pattern", "matched_from", "blocked")
     month = lambda c: F.trunc(c, "month")
-    pages = captures.select(F.col("url").alias("_url"), F.col("fetched_on").cast("date").alias("_day")).dropna().distinct()
-    asked = pages.select("_url", "_day", F.explode(F.array_distinct(patterns(F.col("_url")))).alias("pattern"))
-    keys = asked.select("pattern", "_day").distinct()
-    span = F.broadcast(pages.agg(month(F.min("_day")).alias("low"), month(F.max("_day")).alias("high")))  # one row
+    pages = captures.select(F.col("url").alias("page"), F.col("fetched_on").cast("date").alias("day")).dropna().distinct()
+    asked = pages.select("page", "day", F.explode(F.array_distinct(patterns(F.col("page")))).alias("pattern"))
+    keys = asked.select("pattern", "day").distinct()
+    span = F.broadcast(pages.agg(month(F.min("day")).alias("low"), month(F.max("day")).alias("high")))  # one row
     held = intervals(entries).where("status <> 'none'").join(span, F.lit(True))
     held = held.withColumn("a", F.greatest(month("valid_from"), F.col("low"))).withColumn("b", F.least(month(F.coalesce("valid_to", "high")), F.col("high"))).where("a <= b")
-    laid = held.select("pattern", "status", "valid_from", "valid_to", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("_month"))
-    at = keys.withColumn("_month", month("_day")).join(laid, ["pattern", "_month"]).where("valid_from <= _day AND (valid_to IS NULL OR _day < valid_to)")
-    hits = asked.join(at.select("pattern", "_day", "status", "valid_from"), ["pattern", "_day"])
+    laid = held.select("pattern", "status", "valid_from", "valid_to", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    at = keys.withColumn("month", month("day")).join(laid, ["pattern", "month"]).where("valid_from <= day AND (valid_to IS NULL OR day < valid_to)")
+    hits = asked.join(at.select("pattern", "day", "status", "valid_from"), ["pattern", "day"])
     order = F.struct(F.length("pattern"), F.col("pattern"))
-    best = hits.groupBy("_url", "_day").agg(F.max_by(F.struct("pattern", "status", "valid_from"), order).alias("hit"))
-    on = (F.col("url") == F.col("_url")) & (F.col("fetched_on").cast("date") == F.col("_day"))
-    joined = captures.join(best, on, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], F.col("hit.pattern").alias("matched_pattern"), F.col("hit.valid_from").alias("matched_from"), F.coalesce(F.col("hit.status") == "block", F.lit(False)).alias("blocked"))
+    best = hits.groupBy("page", "day").agg(F.max_by(F.struct("pattern", "status", "valid_from"), order).alias("hit"))
+    page, day, hit = (unused(captures, c) for c in ("page", "day", "hit"))
+    best = best.select(F.col("page").alias(page), F.col("day").alias(day), F.col("hit").alias(hit))
+    joined = captures.join(best, (F.col("url") == F.col(page)) & (F.col("fetched_on").cast("date") == F.col(day)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], F.col(f"{hit}.pattern").alias("matched_pattern"), F.col(f"{hit}.valid_from").alias("matched_from"), F.coalesce(F.col(f"{hit}.status") == "block", F.lit(False)).alias("blocked"))
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
