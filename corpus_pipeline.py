@@ -6,39 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import chosenpath, decontam, linededup, packing, quality
-from treeline.llm.common import written
+from treeline.llm.common import unused, written
 from treeline.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; rows with a null id or without words are scored like any other."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where(F.col("quality_predicted") == 1).drop("quality_score", "quality_predicted")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; every document stays with the text that is left."""
+    """Repeated chunks of lines go; every row stays with the text that is left, rows with a null id or text too."""
     left = linededup.dedup(docs)
     return left.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or similar texts, the document with the least doc_id stays (every row, where such ids repeat with other texts)."""
-    docs = written(docs)
-    classes = chosenpath.join(docs)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """Of each class of equal or similar texts one row stays: that with the least doc_id (null ids last), then the least MD5 of its text.
+
+    Rows are told apart by id and text, so a row goes only for its own text,
+    whatever other rows have its id. Rows that share both are one document.
+    A text without words is similar to no other and goes for no other row's sake.
+    """
+    key = unused(docs, "_key")
+    rows = docs.withColumn(key, F.md5("text"))
+    classes = written(chosenpath.join(docs))
+    gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_text")).distinct()
+    left = rows.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_text")) & rows["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    # Few inputs hold the same row twice; only then the rows are brought together once more.
+    twice = classes.where("kept").groupBy("doc_id", "key").count().where("count > 1")
+    if not twice.isEmpty():
+        left = left.dropDuplicates(["doc_id", key])
+    return left.drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Documents with a passage of the benchmark go; each row is judged by its own text, whatever its id."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of what is left, with its sequence."""
+    """Every piece of what is left, with its sequence; ids may be null or repeat, each row is packed by itself."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
