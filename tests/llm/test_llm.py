@@ -60,48 +60,86 @@ def test_language(spark, odd, empty):
     assert langid.identify(odd, langid.fit(empty)).where("lang_predicted <> 'und'").count() == 0
 
 
+def chunk_starts(lines):
+    """The first line of each line's chunk, by the same law."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    long = [x.count(" ") >= linededup.LONG_WORDS - 1 for x in lines]
+    out, start = [], 0
+    for i in range(len(lines)):
+        if i - start == linededup.MOST_LINES:
+            start = i
+        out.append(start)
+        if (h[i] * 31 + (h[i - 1] if i else 0)) % 1000003 % linededup.DIVISOR == 0 or long[i] or long[i + 1 : i + 2] == [True]:
+            start = i + 1
+    return out, long
+
+
 def brute_lines(texts):
-    """Chunks by the same law, one document at a time."""
-    out, seen, chunks = [], {}, []
+    """What each text keeps, one text after another: every run that begins or ends at a boundary is looked up among the earlier ones."""
+    seen, out = set(), []
     for t in texts:
         if t is None:
-            chunks.append([])
+            out.append(None)
             continue
         lines = t.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        long = [x.count(" ") >= linededup.LONG_WORDS - 1 for x in lines]
-        cuts, start = [], 0
+        starts, long = chunk_starts(lines)
+        last = [k for k in range(len(lines)) if k + 1 == len(lines) or starts[k + 1] != starts[k]]
+        runs = set()
         for i in range(len(lines)):
-            rolled = (h[i] * 31 + (h[i - 1] if i else 0)) % 1000003 % linededup.DIVISOR == 0
-            if i == len(lines) - 1 or rolled or long[i] or long[i + 1]:
-                cuts.append(("\n".join(lines[start : i + 1]), i > start or long[i]))
-                start = i + 1
-        chunks.append(cuts)
-    for k, cuts in enumerate(chunks):
-        kept = []
-        for body, wide in cuts:
-            if not (wide and body in seen):
-                kept.append(body)
-            if wide:
-                seen.setdefault(body, k)
-        out.append(None if texts[k] is None else "\n".join(kept))
+            stop = min(k for k in last if k >= i)
+            if i < stop or long[i]:
+                runs.add((i, stop))
+            elif stop + 1 < len(lines):
+                runs.add((i, min(k for k in last if k > stop)))
+            if i > starts[i]:
+                runs.add((starts[i], i))
+            elif i and not long[i]:
+                runs.add((starts[i - 1], i))
+        gone, own = set(), set()
+        for a, b in sorted(runs):
+            body = tuple(lines[a : b + 1])
+            if any(body) and (body in seen or body in own):
+                gone |= set(range(a, b + 1))
+            own.add(body)
+        seen |= own
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
 
-def test_line_dedup_equals_brute_force(spark, odd):
+def test_line_dedup_equals_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(linededup, "MOST_LINES", 5)
     rng = random.Random(4)
     passages = [[" ".join(words(5, 100 + 7 * p + i)) for i in range(8)] for p in range(4)]
     texts = []
     for k in range(60):
-        parts = [[" ".join(words(4, 5000 + 10 * k + i)) for i in range(4)], rng.choice(passages), [" ".join(words(60, rng.randrange(3)))], [" ".join(words(3, 9000 + k))]]
+        parts = [[" ".join(words(4, 5000 + 10 * k + i)) for i in range(4)], rng.choice(passages), [" ".join(words(60, rng.randrange(3)))], [" ".join(words(3, 9000 + k))], [""] * rng.randrange(4)]
         texts.append("\n".join(x for p in parts for x in p))
-    texts += ODD[:-1] + [texts[0]]
+    texts += ["a\na\na\na\nb", "\n".join(["same line"] * 30), *ODD[:-1]]
     got = [r["text"] for r in linededup.dedup(docs_of(spark, texts)).orderBy("doc_id").collect()]
     assert got == brute_lines(texts)
     assert sum(len(t or "") for t in got) < sum(len(t or "") for t in texts)
     assert linededup.dedup(odd).count() == len(ODD)
 
 
+@pytest.mark.parametrize(("lines", "least"), [(2, 0.2), (4, 0.75), (6, 0.9), (10, 0.95)])
+def test_line_dedup_finds_passages_of_short_lines(spark, lines, least):
+    passages = ["\n".join(" ".join(words(12, 1000 * n + i)) for i in range(lines)) for n in range(100)]
+    own = lambda k: "\n".join(" ".join(words(9, 10**6 + 10 * k + i)) for i in range(3))
+    texts = [f"{own(3 * k)}\n{p}\n{own(3 * k + 1)}" for k, p in enumerate([*passages, *passages])]
+    rows = linededup.dedup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert all(r["removed_lines"] == [] for r in rows[:100])
+    assert all(set(r["removed_lines"]) <= set(range(3, 3 + lines)) for r in rows[100:])
+    assert sum(len(r["removed_lines"]) for r in rows[100:]) >= least * 100 * lines
+
+
+def test_line_dedup_of_repeated_rows_and_ids(spark):
+    passage = "\n".join(" ".join(words(60, k)) for k in range(2))
+    rows = [(1, passage), (1, passage), (None, passage), (None, "x\n" + passage), (2, passage + "\nown line"), (3, None)]
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"] is None, r["text"] or "") for r in out.collect()) == sorted([(False, passage), (False, passage), (False, ""), (False, "x"), (False, "own line"), (True, "")])
+    assert linededup.dedup(out.limit(0)).count() == 0
+
+
 def test_line_dedup_is_native(spark, odd):
     plan = linededup.dedup(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -200,7 +238,6 @@ def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(Q.tokenizer_path())
-    model.encode_special_tokens = True
     rows = packing.pack_documents(odd, Q.tokenizer_path()).toPandas()
     for k, text in enumerate(ODD):
         ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -216,7 +253,6 @@ def test_encoder_equals_tokenizer(text):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(Q.tokenizer_path())
-    model.encode_special_tokens = True
     ids, starts = packing.encoder(Q.tokenizer_path())([text, None, text])
     assert ids[starts[2] :].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1] and ids[starts[1] : starts[2]].tolist() == [1]
 
@@ -253,8 +289,149 @@ def test_sharding(spark, odd, empty):
     assert len(o) == len(ODD) and o["size"].sum() == sum(len((t or "").encode()) + 1 for t in ODD) and sharding.shard(empty, 3).count() == 0
 
 
-def test_best_fit_decreasing_takes_the_tightest_bin():
-    assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
+def plain_best_fit(sizes, capacity):
+    """Item by item: the open bin with the least room that is enough, the lowest of equals."""
+    room, out = [], []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, k) for k, r in enumerate(room) if r >= s]
+        if not fits:
+            room.append(max(capacity, s))
+            fits = [(room[-1], len(room) - 1)]
+        _, k = min(fits)
+        room[k] -= s
+        out.append((s, k))
+    return out
+
+
+def test_best_fit_decreasing_equals_plain_search():
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes, capacity = [rng.choice([rng.randint(1, 40), 7, 12]) for _ in range(rng.randint(1, 60))], rng.randint(20, 90)
+        counted = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        got = [(s, b) for (s, _), taken in zip(counted, sharding.best_fit_decreasing(counted, capacity), strict=True) for b, n in taken for _ in range(n)]
+        assert sorted(got) == sorted(plain_best_fit(sizes, capacity))
+
+
+def test_sharding_of_many_equal_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(sharding, "EXACT", 5)
+    rng = random.Random(6)
+    texts = ["hot"] * 300 + [f"{k:05d}" for k in range(300)] + ["x" * rng.randint(1, 900) for _ in range(200)] + [None, "", None]
+    docs = spark.createDataFrame([(None if k % 50 == 0 else k % 400, t, "mine", k) for k, t in enumerate(texts)], "doc_id long, text string, shard string, slot int")
+    r = sharding.shard(docs, 7).toPandas()
+    assert len(r) == len(texts) and r.groupby("group_key").shard.nunique().max() == 1 and set(r.shard) == set(range(7))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in r.groupby("shard"))
+    sizes = r.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 0.05 * sizes.mean() + r.groupby("group_key")["size"].sum().max()
+    assert r.text_crc32.sum() == sum(zlib.crc32((t or "").encode()) for t in texts)
+
+
+def plain_dot_product(items, limits):
+    """Item by item over the whole list: the best scaled product with the room left, of those that fit."""
+    demand = [[x / m for x, m in zip(i, limits, strict=True)] for i in items]
+    weight = [sum(d[k] for d in demand) / len(items) for k in range(3)]
+    todo, bins = list(range(len(items))), []
+    while todo:
+        room, own = list(limits), []
+        while fits := [i for i in todo if all(a <= b for a, b in zip(items[i], room, strict=True))]:
+            best = max(fits, key=lambda i: (round(sum(w * d * r / m for w, d, r, m in zip(weight, demand[i], room, limits, strict=True)), 12), [-x for x in items[i]]))
+            todo.remove(best)
+            own.append(items[best])
+            room = [a - b for a, b in zip(room, items[best], strict=True)]
+        bins.append(sorted(own))
+    return sorted(bins)
+
+
+def test_vector_packing_equals_plain_search():
+    rng = random.Random(12)
+    for _ in range(20):
+        items = [(t := rng.randint(1, 90), 1, rng.randint(0, min(t, 70))) for _ in range(40)]
+        limits = (100, 6, 70)
+        bins = packing.dot_product_packing(np.array([i[0] for i in items]), np.array([i[2] for i in items]), limits)
+        got = sorted(sorted(items[k] for k in np.flatnonzero(bins == b)) for b in range(bins.max() + 1))
+        assert got == plain_dot_product(items, limits)
+
+
+def test_packing_pads_little(spark):
+    rows = packing.pack_documents(spark.read.parquet(f"{DIR}/documents.parquet"), Q.tokenizer_path())
+    used, sequences = rows.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert used >= 0.98 * 2048 * (sequences - 1)
+
+
+def test_packing_refuses_other_tokenizers(tmp_path):
+    import json
+
+    stored = json.loads(open(Q.tokenizer_path(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": stored["model"] | {"dropout": 0.1}}, {"model": stored["model"] | {"merges": stored["model"]["merges"][::-1]}}):
+        (tmp_path / "other.json").write_text(json.dumps(stored | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            packing.encoder(str(tmp_path / "other.json"))
+
+
+CLASHES = ["quality_score", "lang_predicted", "lang_score", "_id", "_key", "_removed", "_chunks", "lines", "removed_lines", "_url", "page", "day", "hit", "group", "shard", "slot", "sketch", "key", "class_id", "links", "kept", "sequence_id", "n", "x", "i", "row"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Repeated and null ids, repeated rows, ties, and columns with the names that operators use inside."""
+    base = " ".join(words(80, 5))
+    near = base + " end"
+    rows = [(1, base), (5, near), (5, "another text that is alone with its words here"), (None, near + " x"), (None, "lone text of a row without an id"), (7, "twice the same row"), (7, "twice the same row"), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs.withColumns({c: F.lit(f"mine {c}") for c in CLASHES}).persist()
+
+
+def test_clashing_columns_pass_unchanged(spark, clashing):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (7, 1), (9, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(0, " ".join(words(30, 1)))], "item_id long, text string")
+    for out, new in (
+        (quality.score(clashing, quality.fit(clashing, labels)), {"quality_score"}),
+        (langid.identify(clashing, langid.fit(clashing.withColumn("lang", F.lit("en")))), {"lang_predicted", "lang_score"}),
+        (linededup.dedup(clashing), {"lines", "removed_lines"}),
+        (decontam.clean(clashing, bench), set()),
+    ):
+        rows = out.collect()
+        assert len(rows) == 10 and len(set(out.columns)) == len(out.columns)
+        assert all(r[c] == f"mine {c}" for r in rows for c in CLASHES if c not in new)
+    assert decontam.contaminated(clashing, bench).count() == 0
+    assert sharding.shard(clashing, 2).count() == packing.pack_documents(clashing, Q.tokenizer_path()).count() == 10
+    assert secrets.scan(clashing, secrets.fit(secrets.labelled_findings(spark, 200), trees=3)).count() == 0
+    captures = clashing.select("*", F.lit("http://bad.org/").alias("url"), F.lit("2024-02-02").cast("date").alias("fetched_on"))
+    entries = spark.createDataFrame([("bad.org", "block", "2024-01-01")], "pattern string, status string, listed_on string")
+    judged = urllist.judge(captures, entries).collect()
+    assert len(judged) == 10 and all(r["blocked"] and r["page"] == "mine page" for r in judged)
+
+
+def test_jaccard_join_tells_rows_apart(clashing):
+    rows = [tuple(r) for r in chosenpath.join(clashing).select("doc_id", "class_id", "links", "kept").collect()]
+    want = [(1, 1, 2, True), (5, 1, 2, False), (5, 5, 0, True), (None, 1, 2, False), (None, None, 0, True), (7, 7, 1, True), (7, 7, 1, True), (8, 8, 0, True), (8, 8, 0, True), (9, 9, 0, True)]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+def test_decontamination_judges_rows_by_themselves(spark):
+    item = " ".join(words(30, 1))
+    docs = spark.createDataFrame([(1, f"a {item} b"), (1, "clean text"), (None, item), (None, "clean too"), (2, item), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r["text"] for r in decontam.clean(docs, bench).collect()) == ["clean text", "clean too"]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in decontam.contaminated(docs, bench).collect()) == [(False, 1), (False, 2), (False, 2), (True, 0)]
+
+
+def test_repeated_ids_dont_flood_the_samples(spark):
+    docs = spark.createDataFrame([(1, f"word{k % 3} text", "en") for k in range(3000)] + [(k, "mot de la phrase", "fr") for k in range(10, 40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(10, 40)], "doc_id long, quality int")
+    assert set(langid.fit(docs).langs) == {"en", "fr"}
+    assert quality.score(docs, quality.fit(docs, labels)).where("quality_predicted = 1").count() >= 3000
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"{chr(0x4E00 + 40 * n + rng.randrange(40))}{chr(0x4E00 + 40 * n + rng.randrange(40))}" for _ in range(20)), f"l{n:03d}") for k, n in enumerate(n for n in range(250) for _ in range(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    known = {r["lang"] for r in docs.where(langid.fold("doc_id", 3) != 1).select("lang").distinct().collect()}
+    assert set(model.langs) == known and len(known) > 200
+    assert np.mean([r["lang"] == r["lang_predicted"] for r in langid.identify(docs.where(F.col("lang").isin(*known)), model).collect()]) > 0.9
 
 
 def test_secrets(spark, odd, empty):

@@ -3,118 +3,171 @@
 Each line has a hash; a rolling hash over a line and the one before it ends a
 chunk where it is divisible by ``DIVISOR``, so inserted or lost lines move
 only the boundaries beside them. A line of ``LONG_WORDS`` words or more is a
-chunk by itself. Chunks of several lines, and such long lines, that occur
-more than once in the corpus are removed except where they come first (least
-doc_id, then first place in it).
-
-Bytes are compared by grouping on the chunk's text itself beside its hash; a
-hash that stands for two different texts removes nothing. Only one row per
-chunk text and task, hashes and chunk numbers move between tasks, and the
-texts once more for the join with what is removed.
+paragraph and a chunk by itself. Where no boundary comes, a chunk ends after
+``MOST_LINES`` lines.
+
+What can repeat is a run of lines that begins or ends at a boundary: a whole
+chunk, the rest of a chunk from any line on, or its beginning up to any line.
+So a passage is found from its first line on and up to its last one, although
+the chunks at its edges hold lines around it too. A run has several lines; one
+that would have a single line takes in the whole chunk beside it, and only
+paragraphs are runs alone. Lines of runs that occur more than once in the
+corpus are removed, except in the run that comes first (least doc_id, then
+first place in it).
+
+Lines travel as hashes and are grouped as lists of them; a text moves once, to
+meet the numbers of the lines that it may lose. Then bytes are compared: every
+line of a repeated run is grouped beside its hash, and a text with a hash that
+stands for two different lines loses nothing. Texts are read once for their
+hashes and once for what is left; no step grows faster than a text's lines.
 
 Defined cases: a null text stays null; an empty text has one empty line and
-stays empty; rows that share doc_id and text are one document to the removal
-(both keep the same chunks); rows that share a doc_id keep their own first
-occurrence; a text that loses every chunk becomes empty, its row stays. Other
-columns are carried through.
+stays empty; runs of empty lines alone are no runs; rows that share doc_id and
+text are one document to the removal (all lose the same lines); rows that
+share a doc_id, or have none, with different texts keep their own first
+occurrence; runs that overlap an earlier copy of themselves in a text lose the
+lines that go beyond it; ties can't be, as a place is unique; a text that
+loses every line becomes empty, its row stays; an empty table gives no rows.
+Other columns are carried through, but for ``lines`` and ``removed_lines``,
+which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import only
+from treeline.llm.common import only, unused, written
 
-DIVISOR = 3
+DIVISOR = 2
 LONG_WORDS = 50
+MOST_LINES = 64
+TEXT = ["doc_id", "text_key"]
 
 
-def _lines(text: Column) -> Column:
+def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _marks(lines: Column) -> Column:
-    """Per line its hash and whether it is long."""
-    return F.transform(
-        lines,
-        lambda line: F.struct(
-            F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long").alias("h"),
-            (F.length(line) - F.length(F.translate(line, " ", "")) >= LONG_WORDS - 1).alias("long"),
-        ),
-    )
-
-
-def _ends(marks: Column) -> Column:
-    """The numbers of the lines, from 1 on, that end a chunk."""
-    at = lambda i: F.get(marks, i)
-    rolled = lambda i: at(i - 1)["h"] * 31 + F.when(i > 1, at(i - 2)["h"]).otherwise(0)
-    return F.filter(
-        F.sequence(F.lit(1), F.size(marks)),
-        lambda i: (i == F.size(marks)) | (F.pmod(F.pmod(rolled(i), F.lit(1000003)), F.lit(DIVISOR)) == 0) | at(i - 1)["long"] | F.coalesce(at(i)["long"], F.lit(False)),
-    )
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_chunks``: per chunk its number, first line, lines and whether it can be removed."""
-    out = docs.withColumn("_marks", _marks(_lines(F.col("text"))))
-    out = out.withColumn("_ends", _ends(F.col("_marks")))
-    first = lambda k: F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(1)
-    chunk = lambda end, k: F.struct(k.alias("k"), first(k).alias("first"), (end - first(k) + 1).alias("lines"), ((end > first(k)) | F.get("_marks", end - 1)["long"]).alias("wide"))
-    return out.withColumn("_chunks", F.transform("_ends", chunk)).drop("_marks", "_ends")
-
-
-def _body(lines: Column, c: Column) -> Column:
-    return F.array_join(F.slice(lines, c["first"], c["lines"]), "\n")
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, i, h, x, long`` of every line of every different row: its number from 0, short and long hash, and whether it is a paragraph."""
+    rows = only(docs, "doc_id", "text").where("text IS NOT NULL")
+    lines = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
+    h = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 7), 16, 10).cast("long")
+    lines = lines.select(*TEXT, "i", h.alias("h"), F.xxhash64("line").alias("x"), (F.size(F.split("line", " ", LONG_WORDS)) >= LONG_WORDS).alias("long"))
+    # Rows that repeat are brought together where the windows need a text's lines anyway.
+    return lines.repartition(*TEXT).groupBy(*TEXT, "i").agg(*[F.first(c).alias(c) for c in ("h", "x", "long")])
+
+
+def chunked(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``start`` and ``stop``, the first and last line of each one's chunk."""
+    w = Window.partitionBy(*TEXT).orderBy("i")
+    rolled = F.pmod(F.col("h") * 31 + F.coalesce(F.lag("h").over(w), F.lit(0)), F.lit(1000003))
+    ends = F.lead("i").over(w).isNull() | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | F.col("long") | F.coalesce(F.lead("long").over(w), F.lit(False))
+    out = lines.withColumn("ends", ends.cast("int"))
+    out = out.withColumn("k", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.min("i").over(Window.partitionBy(*TEXT, "k"))
+    out = out.withColumn("first", first).withColumn("start", (F.col("first") + F.floor((F.col("i") - F.col("first")) / MOST_LINES) * MOST_LINES).cast("int"))
+    return out.withColumn("stop", F.max("i").over(Window.partitionBy(*TEXT, "start"))).select(*TEXT, "i", "x", "long", "start", "stop")
+
+
+def runs(lines: DataFrame) -> DataFrame:
+    """``doc_id, text_key, a, b, run`` of every run: its first and last line, and the hashes of its lines."""
+    c, w = Window.partitionBy(*TEXT, "start").orderBy("i"), Window.partitionBy(*TEXT).orderBy("i")
+    out = chunked(lines).withColumns({"prefix": F.collect_list("x").over(c.rowsBetween(Window.unboundedPreceding, 0)), "suffix": F.collect_list("x").over(c.rowsBetween(0, Window.unboundedFollowing))})
+    out = out.withColumns({"next_suffix": F.lead("suffix").over(w), "next_stop": F.lead("stop").over(w), "last_prefix": F.lag("prefix").over(w), "last_start": F.lag("start").over(w), "last_long": F.lag("long").over(w)})
+    i, single_end, single_start = F.col("i"), F.col("i") == F.col("stop"), F.col("i") == F.col("start")
+    run = lambda a, b, x: F.struct(a.alias("a"), b.alias("b"), x.alias("run"))
+    from_here = (
+        F.when(~single_end | F.col("long"), run(i, F.col("stop"), F.col("suffix")))
+        .when(F.col("next_stop").isNotNull(), run(i, F.col("next_stop"), F.concat("suffix", "next_suffix")))
+    )
+    # What a run from an earlier line already is, is left out: whole chunks, and pairs of chunks of one line.
+    paired = single_end & (F.col("last_start") == i - 1) & ~F.col("last_long")
+    up_to_here = (
+        F.when(~single_start & ~single_end, run(F.col("start"), i, F.col("prefix")))
+        .when(single_start & ~F.col("long") & F.col("last_start").isNotNull() & ~paired, run(F.col("last_start"), i, F.concat("last_prefix", "prefix")))
+    )
+    out = out.select(*TEXT, F.explode(F.array_compact(F.array(from_here, up_to_here))).alias("r")).select(*TEXT, "r.*")
+    empty = F.xxhash64(F.lit(""))
+    return out.where((F.array_min("run") != empty) | (F.array_max("run") != empty))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, removed``: the numbers of the chunks that each document loses."""
-    rows = chunked(only(docs, "doc_id", "text")).withColumn("text_key", F.xxhash64("text")).withColumn("_l", _lines(F.col("text")))
-    wide = F.filter("_chunks", lambda c: c["wide"])
-    bodies = rows.select("doc_id", F.explode(F.transform(wide, lambda c: _body(F.col("_l"), c))).alias("body"))
-    same = bodies.groupBy(F.xxhash64("body").alias("h"), "body").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc"))
-    twice = same.groupBy("h").agg(F.count("*").alias("bodies"), F.max("times").alias("times"), F.min("first_doc").alias("first_doc")).where("bodies = 1 and times > 1").select("h", "first_doc")
-    hashed = rows.select("doc_id", "text_key", F.transform(wide, lambda c: F.struct(c["k"].alias("k"), F.xxhash64(_body(F.col("_l"), c)).alias("h"))).alias("_w"))
-    again = F.transform("_w", lambda w, i: F.struct(w["k"].alias("k"), w["h"].alias("h"), (F.array_position(F.col("_w")["h"], w["h"]) <= i).alias("again")))
-    placed = hashed.select("doc_id", "text_key", F.explode(again).alias("w")).select("doc_id", "text_key", "w.*").distinct()
-    lost = placed.join(twice, "h").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    return lost.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("k")).alias("removed"))
+    """``doc_id, text_key, again, removed``: the lines of each text that are in repeated runs, and those of them that it loses."""
+    every = runs(hashed_lines(docs)).withColumn("own", F.row_number().over(Window.partitionBy(*TEXT, "run").orderBy("a")))
+    twice = every.groupBy("run").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc")).where("times > 1").drop("times")
+    lost = (F.col("own") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    laid = every.join(twice, "run").select(*TEXT, F.explode(F.sequence("a", "b")).alias("i"), lost.cast("int").alias("lost"))
+    lines = laid.groupBy(*TEXT, "i").agg(F.max("lost").alias("lost"))
+    return lines.groupBy(*TEXT).agg(F.sort_array(F.collect_list("i")).alias("again"), F.sort_array(F.collect_list(F.when(F.col("lost") == 1, F.col("i")))).alias("removed"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text that is left, ``chunks`` (their number) and ``removed_chunks`` (theirs)."""
-    lost = repeated(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
-    both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
-    both = chunked(both).withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>"))).withColumn("_l", _lines(F.col("text")))
-    left = F.filter("_chunks", lambda c: ~F.array_contains("_removed", c["k"]))
-    text = F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: _body(F.col("_l"), c)), "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_chunks"), F.lit(0)).alias("chunks"), F.col("_removed").alias("removed_chunks"))
+def without(lines: Column, removed: Column) -> Column:
+    """The lines, of which some are left out: the stretches between them, laid end to end."""
+    after = lambda k: F.coalesce(F.get(removed, k - 1), F.lit(-1)) + 1
+    kept = F.transform(F.concat(removed, F.array(F.size(lines))), lambda at, k: F.slice(lines, after(k) + 1, at - after(k)))
+    return F.flatten(kept)
 
 
-#: The rows of the query ``op6_line_dedup`` in DuckDB's SQL.
+def dedup(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with the text that is left, ``lines`` (their number before) and ``removed_lines`` (numbers from 0)."""
+    docs = docs.drop("lines", "removed_lines")
+    doc_id, key, again, removed, known = (unused(docs, c) for c in ("_doc_id", "_text_key", "_again", "_removed", "_ambiguous"))
+    lost = repeated(docs).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("again").alias(again), F.col("removed").alias(removed))
+    both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.xxhash64("text").eqNullSafe(F.col(key)) & F.col("text").isNotNull(), "left").drop(doc_id, key)
+    both = written(both)
+    lines = split_lines(F.col("text"))
+    compared = only(both, "text", again).where(F.col(again).isNotNull()).select(F.explode(F.transform(again, lambda i: F.get(lines, i))).alias("line"))
+    pairs = compared.select(F.xxhash64("line").alias("x"), "line").distinct().groupBy("x").agg(F.count("*").alias("texts"))
+    # One row. A hash of 64 bits hardly ever stands for two lines: among a trillion lines some 30,000 are expected to.
+    ambiguous = pairs.where("texts > 1").agg(F.collect_list("x").alias(known))
+    both = both.join(F.broadcast(ambiguous), F.lit(True))
+    sure = (F.size(known) == 0) | ~F.exists(again, lambda i: F.array_contains(F.col(known), F.xxhash64(F.get(lines, i))))
+    none = F.array().cast("array<int>")
+    gone = F.when(F.col(removed).isNotNull() & sure, F.col(removed)).otherwise(none)
+    both = both.withColumn(removed, gone)
+    text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(without(lines, F.col(removed)), "\n"))
+    number = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], number.alias("lines"), F.col(removed).alias("removed_lines"))
+
+
+#: The rows of the query ``op6_line_dedup`` in DuckDB's SQL; runs are compared as lists of lines.
 ORACLE = f"""
-WITH l AS (
-  SELECT doc_id, md5(text) AS key, any_value(text) AS text, unnest(string_split(any_value(text), chr(10))) AS line, unnest(range(1, len(string_split(any_value(text), chr(10))) + 1)) AS i
-  FROM documents WHERE text IS NOT NULL GROUP BY doc_id, md5(text)
+WITH d AS (
+  SELECT doc_id, md5(text) AS key, string_split(any_value(text), chr(10)) AS ls FROM documents WHERE text IS NOT NULL GROUP BY doc_id, md5(text)
+), l AS (
+  SELECT doc_id, key, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d
 ), m AS (
-  SELECT doc_id, key, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= {LONG_WORDS - 1} AS long FROM l
+  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, len(string_split(line, ' ')) >= {LONG_WORDS} AS long FROM l
 ), e AS (
-  SELECT *, coalesce(lead(i) OVER w IS NULL OR ((h * 31 + coalesce(lag(h) OVER w, 0)) % 1000003) % {DIVISOR} = 0 OR long OR lead(long) OVER w, false) AS ends FROM m WINDOW w AS (PARTITION BY doc_id, key ORDER BY i)
+  SELECT *, lead(i) OVER w IS NULL OR ((h * 31 + coalesce(lag(h) OVER w, 0)) % 1000003) % {DIVISOR} = 0 OR long OR coalesce(lead(long) OVER w, false) AS ends FROM m WINDOW w AS (PARTITION BY doc_id, key ORDER BY i)
 ), k AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e
-), c AS (
-  SELECT doc_id, key, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) > 1 OR bool_or(long) AS wide FROM k GROUP BY doc_id, key, k
-), copies AS (
-  SELECT doc_id, md5(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL
-), r AS (
-  SELECT body, min(doc_id) AS first_doc FROM c JOIN copies USING (doc_id, key) WHERE wide GROUP BY body HAVING sum(n) > 1
+), f AS (
+  SELECT *, min(i) OVER (PARTITION BY doc_id, key, k) AS first FROM k
 ), s AS (
-  SELECT c.*, r.body IS NOT NULL AND (row_number() OVER (PARTITION BY doc_id, key, c.body, wide ORDER BY k) > 1 OR doc_id <> first_doc) AS gone FROM c LEFT JOIN r ON c.body = r.body AND c.wide
-), d AS (
-  SELECT doc_id, key, count(*) AS chunks, coalesce(string_agg(CASE WHEN gone THEN k::BIGINT::VARCHAR END, ',' ORDER BY k), '') AS removed, md5(coalesce(string_agg(CASE WHEN NOT gone THEN body END, chr(10) ORDER BY k), '')) AS kept_md5
-  FROM s GROUP BY doc_id, key
+  SELECT *, first + (i - first) // {MOST_LINES} * {MOST_LINES} AS start FROM f
+), p AS (
+  SELECT *, list(line) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix, list(line) OVER (c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix, max(i) OVER (PARTITION BY doc_id, key, start) AS stop
+  FROM s WINDOW c AS (PARTITION BY doc_id, key, start ORDER BY i)
+), n AS (
+  SELECT *, lead(suffix) OVER w AS next_suffix, lead(stop) OVER w AS next_stop, lag(prefix) OVER w AS last_prefix, lag(start) OVER w AS last_start FROM p WINDOW w AS (PARTITION BY doc_id, key ORDER BY i)
+), r AS (
+  SELECT doc_id, key, i AS a, stop AS b, suffix AS run FROM n WHERE i < stop OR long
+  UNION SELECT doc_id, key, i, next_stop, list_concat(suffix, next_suffix) FROM n WHERE i = stop AND NOT long AND next_stop IS NOT NULL
+  UNION SELECT doc_id, key, start, i, prefix FROM n WHERE i > start
+  UNION SELECT doc_id, key, last_start, i, list_concat(last_prefix, prefix) FROM n WHERE i = start AND NOT long AND last_start IS NOT NULL
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, key, run ORDER BY a) AS own FROM r WHERE len(list_filter(run, lambda t: t <> '')) > 0
+), t AS (
+  SELECT run, min(doc_id) AS first_doc FROM u GROUP BY run HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, key, unnest(range(a, b + 1)) AS i FROM u JOIN t USING (run) WHERE own > 1 OR doc_id <> first_doc
+), o AS (
+  SELECT l.doc_id, l.key, count(*) AS lines, coalesce(string_agg(gone.i::VARCHAR, ',' ORDER BY l.i), '') AS removed, md5(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i), '')) AS kept_md5
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.key = l.key AND gone.i = l.i GROUP BY l.doc_id, l.key
 )
-SELECT t.doc_id, coalesce(d.chunks, 0)::BIGINT AS chunks, coalesce(d.removed, '') AS removed, d.kept_md5
-FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id AND d.key = md5(t.text)
+SELECT documents.doc_id, coalesce(o.lines, 0)::BIGINT AS lines, coalesce(o.removed, '') AS removed, o.kept_md5
+FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id AND o.key = md5(documents.text)
 """

@@ -11,10 +11,17 @@ Pieces are dealt at random into groups of about ``GROUP`` and each group is
 packed by one task, so a task's work is bounded and padding doesn't depend on
 the size of the input.
 
+The tokenizer file says how texts become ids: byte-level BPE without a
+normalizer, whose merges are in the order of their ids. Any other kind of file
+raises an error.
+
 Defined cases: a null or empty text is the end token alone; the tokenizer
 file's added tokens have their own ids wherever a text holds them; an item that
-exceeds a limit raises an error; repeated rows are packed as items of their
-own; an empty table gives no rows.
+exceeds a limit raises an error; repeated rows, and rows with a repeated or
+null id, are packed as items of their own; items of equal demand are alike, so
+which goes first is open; an empty table gives no rows. Documents are read for
+doc_id and text alone; ``pack`` carries all columns of its items, but for
+``sequence_id`` and ``segment_offset``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import only, slices, written
+from treeline.llm.common import only, slices, unused, written
 
 LENGTH = 2048
 SEGMENTS = 128
@@ -75,13 +82,17 @@ def pack(items: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss:
 
     The rows are written once, so that dealing them into groups is stable when a task runs again.
     """
-    rows = written(items)
+    items = items.drop("sequence_id", "segment_offset")
+    name = unused(items, "group")
+    # The row's number is written with it, so that it stays what it is.
+    rows = written(items.withColumn(name, F.xxhash64(F.monotonically_increasing_id())))
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = rows.withColumn(name, F.pmod(F.col(f"`{name}`"), F.lit(groups)))
+    rows = rows.drop(name)
     schema = rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("segment_offset")).schema
 
     def packed(table: pa.Table) -> pa.Table:
-        number = table["_group"][0].as_py()
+        number = table[name][0].as_py()
         tokens = table["tokens"].to_numpy().astype(np.int64)
         bins = dot_product_packing(tokens, table["loss_tokens"].to_numpy().astype(np.int64), (length, segments, loss))
         order = np.argsort(bins, kind="stable")
@@ -89,9 +100,9 @@ def pack(items: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss:
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(bins))))
-        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(number + groups * bins)).append_column("segment_offset", pa.array(offset))
+        return table.drop_columns([name]).append_column("sequence_id", pa.array(number + groups * bins)).append_column("segment_offset", pa.array(offset))
 
-    return dealt.groupBy("_group").applyInArrow(packed, schema)
+    return dealt.groupBy(F.col(f"`{name}`")).applyInArrow(packed, schema)
 
 
 def byte_letters() -> dict[str, int]:
@@ -101,10 +112,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def byte_level(tokenizer: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The byte-level BPE of a ``tokenizers`` file, and the bytes of each id."""
+def stored_tokenizer(tokenizer: str) -> dict:
+    """The tokenizer file, if it is of the kind that is encoded here."""
     stored = json.loads(Path(tokenizer).read_text(encoding="utf-8"))
-    special = {t["content"] for t in stored.get("added_tokens", [])}
+    model, before, added = stored["model"], stored.get("pre_tokenizer") or {}, stored.get("added_tokens") or []
+    wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if stored.get("normalizer") or any(before.get(k) != v for k, v in wanted.items()):
+        raise ValueError("the tokenizer isn't byte-level without a normalizer and a space put before")
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("the tokenizer isn't plain BPE")
+    merged = np.array([model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]])
+    if (np.diff(merged) <= 0).any():
+        raise ValueError("the tokenizer's merges aren't in the order of their ids")
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes in what is beside it")
+    return stored
+
+
+def byte_level(stored: dict) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The byte-level BPE of a ``tokenizers`` file, and the bytes of each id."""
+    special = {t["content"] for t in stored.get("added_tokens") or []}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
     widths = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -112,27 +139,20 @@ def byte_level(tokenizer: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), widths
 
 
-def added_tokens(tokenizer: str) -> dict[str, int]:
-    """The ids of the file's added tokens, which are found in a text before anything else, the longest first."""
-    stored = json.loads(Path(tokenizer).read_text(encoding="utf-8")).get("added_tokens", [])
-    if any(t.get(k) for t in stored for k in ("single_word", "lstrip", "rstrip")):
-        raise ValueError("an added token takes in what is beside it")
-    return {t["content"]: t["id"] for t in sorted(stored, key=lambda t: -len(t["content"]))}
-
-
-def encoder(tokenizer: str, added: bool = False) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def encoder(tokenizer: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to all their ids and each text's offsets, with the end id after each.
 
     A single space always begins a new word of the pattern and a single line
     feed is a word by itself. So texts without other or doubled white space
     are cut there, and each distinct part is encoded once: those with a space
     one after another, those without after a line feed each. The bytes of the
-    ids tell where a part ends. Other texts are encoded as they are. With
-    ``added``, a text is cut at the added tokens, which get their own ids;
-    without, they are text like any other.
+    ids tell where a part ends. Other texts are encoded as they are. Added
+    tokens are found in a text before anything else, the longest first: such a
+    text is cut there, and they get their own ids.
     """
-    model, widths = byte_level(tokenizer)
-    own_ids = added_tokens(tokenizer) if added else {}
+    stored = stored_tokenizer(tokenizer)
+    model, widths = byte_level(stored)
+    own_ids = {t["content"]: t["id"] for t in sorted(stored.get("added_tokens") or [], key=lambda t: -len(t["content"]))}
     marks = re.compile(f"({'|'.join(map(re.escape, own_ids))})")
     lone = {p: model.encode_to_numpy(p) for p in ("\n", " ")}
     none = np.zeros(0, np.uint32)
@@ -182,7 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """``doc_id, start, tokens, loss_tokens, ids_crc32, doc_tokens`` of every piece: full ones, then the tail."""
 
     def cut(batches):
-        encode = encoder(tokenizer, added=True)
+        encode = encoder(tokenizer)
         for part in slices(batches, most=4 << 20):
             ids, starts = encode(part["text"].to_pylist())
             number = np.diff(starts)

@@ -57,7 +57,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("chunks").cast("long").alias("chunks"), F.array_join("removed_chunks", ",").alias("removed"), F.md5("text").alias("kept_md5"))
+    return found.select("doc_id", F.col("lines").cast("long").alias("lines"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.md5("text").alias("kept_md5"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,37 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows with equal texts form a group that stays together. Groups of at least
-1/``HEAVY`` of all bytes are placed one by one (there can be no more than
-``HEAVY`` of them); lighter groups are first gathered by hash into
-``CELLS`` cells. So the number of placed items is bounded by
-``HEAVY + CELLS`` whatever the size of the input, and only their sizes
-reach the driver. Items sorted by size enter the shard with the tightest
-remaining capacity that holds them, found in a balanced tree of remaining
-capacities; bisection finds the least capacity with which the wanted number
-of shards is enough.
-
-Slots are numbered without a global sort: rows are ranked inside blocks (an
-item, salted by document once it has many rows) and the blocks of a shard
-are laid end to end.
+Rows with equal texts form a group that stays together. Groups of equal size
+are interchangeable, so best fit needs only how many groups there are of each
+size: groups are counted by size class (exact below 2^``EXACT`` bytes, above
+that the leading bits, at most 2^-``EXACT`` apart), at most some 300,000
+classes whatever the input, and only those counts reach the driver.
+Classes sorted by size enter the shard with the tightest remaining capacity
+that holds them, as many of their groups as fit, found in a balanced tree of
+remaining capacities; bisection finds the least capacity with which the
+wanted number of shards is enough.
+
+The groups of a class are then ranked where they are, in blocks by hash, and
+go to the class's shards by rank. Slots are numbered the same way, without a
+global sort: rows are ranked inside blocks and the blocks of a shard are laid
+end to end.
 
 Defined cases: a null text has no bytes and size 1, an empty text size 1
 too but a group of its own (null is not equal to empty); a group larger
 than total/shards makes its shard larger than the others, since it can't be
-divided; an empty table gives no rows; repeated doc_ids are rows of their
-own. Only doc_id and text are read.
+divided; groups of equal size are dealt by a hash of their text; an empty
+table gives no rows; repeated doc_ids, null ones and repeated rows are rows of
+their own. Other columns than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import only, written
 
-HEAVY = 4096
-CELLS = 4096
+#: Sizes of fewer bits are classes by themselves; larger ones keep so many leading bits.
+EXACT = 14
 #: Rows that one task ranks at a time, about.
 BLOCK_ROWS = 50_000
 
@@ -81,38 +83,62 @@ class CapacityTree:
         return least[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; a new bin opens when no open one has room. Items above the capacity get bins of their own."""
-    tree, bins, out = CapacityTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_at_least(sizes[i])
-        if found is None:
-            found, bins = (max(capacity, sizes[i]), bins), bins + 1
-        tree.insert((found[0] - sizes[i], found[1]))
-        out[i] = found[1]
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """For each (size, count) of items, largest first, the (bin, count) that take them; a new bin opens when no open one has room. Items above the capacity get bins of their own."""
+    tree, bins, out = CapacityTree(), 0, []
+    for size, count in sizes:
+        taken: list[tuple[int, int]] = []
+        while count:
+            found = tree.take_at_least(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            number = min(count, found[0] // size)
+            taken.append((found[1], number))
+            tree.insert((found[0] - number * size, found[1]))
+            count -= number
+        out.append(taken)
     return out
 
 
-def fit_shards(sizes: list[int], shards: int) -> list[int]:
+def fit_shards(sizes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
     """Best fit decreasing under the least capacity (by bisection) for which at most ``shards`` bins are opened."""
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), max(sizes))
-    high = max(low, low + max(sizes))
+    opened = lambda tried: max(b for taken in tried for b, _ in taken) + 1
+    low = max(-(-sum(s * n for s, n in sizes) // shards), sizes[0][0])
+    high = low + sizes[0][0]
     best = best_fit_decreasing(sizes, high)
-    while max(best) >= shards:
+    while opened(best) > shards:
         high *= 2
         best = best_fit_decreasing(sizes, high)
     step = max(1, low // 20_000)
     while low < high - step:
         middle = (low + high) // 2
         tried = best_fit_decreasing(sizes, middle)
-        if max(tried) < shards:
+        if opened(tried) <= shards:
             best, high = tried, middle
         else:
             low = middle + 1
     tried = best_fit_decreasing(sizes, low)
-    return tried if max(tried) < shards else best
+    return tried if opened(tried) <= shards else best
+
+
+def size_class(size: Column) -> Column:
+    """The largest size of a size's class."""
+    drop = F.greatest(F.lit(0), F.length(F.bin(size)) - EXACT)
+    unit = F.pow(F.lit(2.0), drop).cast("long")
+    return F.when(drop == 0, size).otherwise(F.floor(size / unit).cast("long") * unit + unit - 1)
+
+
+def ranked(rows: DataFrame, by: list[str], salt: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``, from 0 on and gapless within ``by``: rows are ranked in blocks by ``salt``, whose counts give where each block begins."""
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(salt), F.lit(blocks)))
+    counts = dealt.groupBy(*by, "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    starts = counts.select(*by, "block", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy(*by, "block").orderBy(*order))
+    return dealt.withColumn("own", own).join(starts, [*by, "block"]).withColumn("rank", (F.col("start") + F.col("own") - 1).cast("long")).drop("block", "own", "start")
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -124,22 +150,19 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2("text", 256), F.lit("null")).alias("group_key"),
     )
-    rows = written(rows.withColumn("salt", F.xxhash64("doc_id", F.col("group_key"))))
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    if not count:
-        return rows.select("doc_id", "size", "text_crc32", "group_key", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    least = -(-total // HEAVY)
-    heavy = rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where(F.col("bytes") >= least)
-    named = heavy.select("group_key", F.col("group_key").alias("heavy_key"))
-    cell = F.format_string("cell-%05d", F.pmod(F.xxhash64("group_key"), F.lit(CELLS)))
-    # At most HEAVY rows by arithmetic, so the broadcast is bounded.
-    items = rows.join(F.broadcast(named), "group_key", "left").withColumn("item", F.coalesce("heavy_key", cell)).drop("heavy_key")
-    listed = items.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("item").collect()  # HEAVY + CELLS at most
-    placed = fit_shards([r["bytes"] for r in listed], shards)
-    where = spark.createDataFrame([(r["item"], k, -(-r["rows"] // BLOCK_ROWS)) for r, k in zip(listed, placed, strict=True)], "item string, shard int, blocks long")
-    items = items.join(F.broadcast(where), "item").withColumn("block", F.pmod(F.col("salt"), F.col("blocks"))).drop("salt", "blocks")
-    counts = items.groupBy("shard", "item", "block").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("item", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("item", "block", F.coalesce(before, F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item", "block").orderBy("doc_id"))
-    return items.withColumn("rank", rank).join(starts, ["item", "block"]).select("doc_id", "size", "text_crc32", "group_key", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
+    # Written once, so a row's number stays what it is; it tells repeated rows apart.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    groups = written(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes"))))
+    listed = groups.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect()  # bounded by the number of classes
+    placed = fit_shards([(r["class"], r["n"]) for r in listed], shards)
+    quotas = []
+    for r, taken in zip(listed, placed, strict=True):
+        first = 0
+        for k, number in taken:
+            quotas.append((r["class"], first, first + number, k))
+            first += number
+    quota = spark.createDataFrame(quotas, "class long, first long, last long, shard int")
+    # Ranges of ranks: at most one for each class and shard beside one a class.
+    placed_groups = ranked(groups, ["class"], "group_key", ["group_key"]).join(F.broadcast(quota), "class").where("rank >= first AND rank < last")
+    items = rows.join(placed_groups.select("group_key", "shard"), "group_key")
+    return ranked(written(items), ["shard"], "row", ["doc_id", "row"]).select("doc_id", "size", "text_crc32", "group_key", "shard", F.col("rank").alias("slot"))
