@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators.threshold import average_rank, correlation
+from treeline.operators.threshold import rank_correlations
 from treeline.settings import CONTEXT_EPS, EPS, Z95
 
 
@@ -30,9 +31,19 @@ def icc(rows: DataFrame, columns: list[str], by: list[str] = (), eps: float = CO
 
 def rank_correlation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``N, rho`` per group over rows that have both; null where a column is constant."""
-    both = rows.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
-    ranked = both.withColumns({"rx": average_rank("x", by), "ry": average_rank("y", by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("N"), correlation("rx", "ry").alias("rho"))
+    return rank_correlations(rows.dropna(subset=[x, y]), x, y, by)
+
+
+def with_p_values(rows: DataFrame) -> DataFrame:
+    """``rows(N, rho)``, a row a group, with the two-sided ``p_value`` (null where it isn't defined)."""
+    schema = rows.select("*", F.lit(None).cast("double").alias("p_value")).schema
+
+    def valued(batches):
+        for batch in batches:
+            p = [t_two_sided(float("nan") if r is None else r, n) for r, n in zip(batch["rho"].to_pylist(), batch["N"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if math.isnan(v) else v for v in p], pa.float64())], names=schema.names)
+
+    return rows.mapInArrow(valued, schema)
 
 
 def fisher(rows: DataFrame) -> DataFrame:
@@ -105,6 +116,6 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front / (1 + value)
 
 
-def ranked_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def mean_agreement(pairs: DataFrame) -> DataFrame:
+    """The means over all pairs of raters."""
+    return pairs.agg(F.avg("exact").alias("exact"), F.avg("within1").alias("within1"))

@@ -38,19 +38,28 @@ def kappa(counts: DataFrame, by: list[str]) -> DataFrame:
     return placed.groupBy(*by).agg((1 - F.try_divide(s((t - p) ** 2), expected)).alias("QWK"))
 
 
+def block(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The metric block of each group, from confusion counts (a group's may come in several parts)."""
+    counts = counts.groupBy(*by, "truth", "pred").agg(F.sum("n").alias("n"))
+    return basic(counts, by).join(balanced(counts, by), by).join(kappa(counts, by), by)
+
+
 def scores(rows: DataFrame, by: list[str]) -> DataFrame:
     """The metric block of each group."""
-    counts = confusion(rows, by)
-    return basic(counts, by).join(balanced(counts, by), by).join(kappa(counts, by), by)
+    return block(confusion(rows, by), by)
 
 
-def fields_summary(rows: DataFrame, by: list[str], field: str = "held_field") -> DataFrame:
-    """Pooled accuracy with the mean, least, greatest and spread (population) of the fields' accuracies."""
-    hit = F.avg((F.col("truth") == F.col("pred")).cast("double"))
-    per = rows.groupBy(*by, field).agg(F.count("*").alias("n"), hit.alias("a"))
+def fields_block(counts: DataFrame, by: list[str], field: str = "held_field") -> DataFrame:
+    """Pooled accuracy with the mean, least, greatest and spread (population) of the fields' accuracies, from confusion counts of each field."""
+    hit = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    per = counts.groupBy(*by, field).agg(F.sum("n").alias("n"), (hit / F.sum("n")).alias("a"))
     return per.groupBy(*by).agg((F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("Accuracy"), F.avg("a").alias("FieldUnweightedAccuracy"), F.min("a").alias("WorstFieldAccuracy"), F.max("a").alias("BestFieldAccuracy"), F.stddev_pop("a").alias("FieldAccuracySD"))
 
 
+def fields_summary(rows: DataFrame, by: list[str], field: str = "held_field") -> DataFrame:
+    return fields_block(confusion(rows, [*by, field]), by, field)
+
+
 def merged(label: Column) -> Column:
     """The label scheme in which the two lowest classes are one."""
     return F.greatest(label - 1, F.lit(0))

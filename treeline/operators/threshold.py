@@ -12,24 +12,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(column: str, by: list[str]):
-    """Rank in the group where equal values share the mean of their places."""
-    order = Window.partitionBy(*by).orderBy(column)
-    return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
+def running(counts: DataFrame, by: list[str], column: str, buckets: int = 64) -> DataFrame:
+    """``counts(by, column, n)``, a row a value, with ``before``: how many rows of the group have smaller values.
 
+    Values are cut into buckets at approximate quantiles, so a group is spread
+    over many tasks; the buckets' totals, a few rows a group, are added up and
+    joined back.
+    """
+    shares = [k / buckets for k in range(1, buckets)]
+    found = counts.agg(F.percentile_approx(F.col(column).cast("double"), F.array(*map(F.lit, shares)), F.lit(1000))).first()[0]
+    bounds = F.array(*map(F.lit, sorted(set(found or []))))
+    placed = counts.withColumn("_bucket", F.size(F.filter(bounds, lambda t: t <= F.col(column).cast("double"))))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
+    before = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_earlier")
+    return placed.join(totals, [*by, "_bucket"]).withColumn("before", before).drop("_bucket", "_earlier")
 
-def correlation(x, y):
-    """Pearson's correlation, null for a constant column."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+def rank_correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """``by, N, rho``: Spearman's correlation, where equal values share the mean of their places; null for a constant column.
+
+    Everything goes by counts of distinct pairs and values, never by whole groups of rows.
+    """
+    pairs = rows.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    rank = lambda c: running(pairs.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+    placed = pairs.join(rank("x"), [*by, "x"]).join(rank("y"), [*by, "y"])
+    n, total = F.col("n"), F.sum("n")
+    s = lambda e: F.sum(e * n)
+    counts = pairs.groupBy(*by).agg(((F.sum("n") + 1) / 2).alias("m"))
+    rx, ry = F.col("rx") - F.col("m"), F.col("ry") - F.col("m")
+    out = placed.join(F.broadcast(counts), by).groupBy(*by).agg(total.alias("N"), s(rx * ry).alias("xy"), s(rx * rx).alias("xx"), s(ry * ry).alias("yy"))
+    return out.select(*by, "N", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
+
+
+def finite(column: str):
+    """The value, or null where it isn't a finite number."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
 def fit(train: DataFrame, by: list[str]) -> DataFrame:
-    """Per fold: ``median, orient, classes, cuts``. ``train`` has ``by``, ``x`` (may be null) and ``y``."""
-    w = Window.partitionBy(*by)
-    filled = train.withColumn("median", F.median("x").over(w)).withColumn("x", F.coalesce("x", "median"))
-    ranked = filled.withColumns({"rx": average_rank("x", by), "ry": average_rank("y", by)})
-    turned = ranked.groupBy(*by).agg(F.first("median").alias("median"), F.when(F.coalesce(correlation("rx", "ry"), F.lit(-1.0)) >= 0, 1.0).otherwise(-1.0).alias("orient"))
-    centers = filled.drop("median").join(turned, by).groupBy(*by, "y").agg(F.median(F.col("x") * F.col("orient")).alias("m"), F.count("*").cast("double").alias("n"))
+    """Per fold: ``median, orient, classes, cuts``. ``train`` has ``by``, ``x`` (may be null or not finite) and ``y``."""
+    train = train.select(*by, finite("x").alias("x"), "y")
+    medians = train.groupBy(*by).agg(F.median("x").alias("median"))
+    filled = train.join(F.broadcast(medians), by).withColumn("x", F.coalesce("x", "median"))  # a row a fold
+    rho = rank_correlations(filled, "x", "y", by)
+    turned = medians.join(rho, by, "left").select(*by, "median", F.when(F.coalesce("rho", F.lit(-1.0)) >= 0, 1.0).otherwise(-1.0).alias("orient"))
+    centers = filled.drop("median").join(F.broadcast(turned), by).groupBy(*by, "y").agg(F.median(F.col("x") * F.col("orient")).alias("m"), F.count("*").cast("double").alias("n"))
     # Weighted means of runs of classes i..k give the isotonic value: max over i <= c of min over k >= c.
     a, b = centers.select(*by, F.col("y").alias("i")), centers.select(*by, F.col("y").alias("k"))
     inner = centers.select(*by, F.col("y").alias("c"), "m", "n")
@@ -43,15 +74,18 @@ def fit(train: DataFrame, by: list[str]) -> DataFrame:
 
 def predict(test: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
     """``test`` (``by``, ``x``) with ``pred``."""
-    x = F.coalesce("x", "median") * F.col("orient")
+    x = F.coalesce(finite("x"), "median") * F.col("orient")
     at = F.size(F.filter("cuts", lambda t: t <= x))
     return test.join(F.broadcast(rules), by).withColumn("pred", F.get("classes", F.least(at, F.size("classes") - 1))).drop("median", "orient", "classes", "cuts")
 
 
 def held_out(rows: DataFrame, by: list[str], group: str) -> DataFrame:
-    """Leave-one-group-out predictions within each of ``by``; a fold is a group's value, rows train all the others."""
-    groups = rows.select(*by, F.col(group).alias("held")).distinct()
+    """Leave-one-group-out predictions within each of ``by``; a fold is a group's value, rows train all the others.
+
+    Groups are few (their list is laid beside each row), folds are fitted together.
+    """
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
     fold = [*by, "held"]
-    paired = rows.join(F.broadcast(groups), by) if by else rows.crossJoin(F.broadcast(groups))
-    rules = fit(paired.where(F.col(group) != F.col("held")).select(*fold, "x", "y"), fold)
+    laid = rows.withColumn("held", F.explode(F.array(*map(F.lit, groups))))
+    rules = fit(laid.where(F.col(group) != F.col("held")).select(*fold, "x", "y"), fold)
     return predict(rows.withColumn("held", F.col(group)), rules, fold)

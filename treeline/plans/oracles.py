@@ -69,7 +69,7 @@ _RANKS = "(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTIT
 _PAIRS = f"{SQL}, pairs AS (SELECT a.tree, a.field, a.class, a.x AS x_l1, b.x AS x_h300 FROM observations a JOIN observations b ON a.tree = b.tree AND a.source = 'L1' AND b.source = 'H300')"
 _CORR = f"{SQL}, cr AS (SELECT field, {_RANKS(by='field', x='truth')} AS rx, {_RANKS(by='field', x='pred2')} AS ry FROM (SELECT *, pred + (key % 3) / 2 AS pred2 FROM predictions WHERE method = 'B')), rc AS (SELECT field, count(*) AS N, corr(rx, ry) AS rho FROM cr GROUP BY field)"
 _RATED = f"{SQL}, rated AS (SELECT max(pred) FILTER (method = 'A') AS r1, max(pred) FILTER (method = 'B') AS r2, any_value(truth) AS r3, CASE WHEN key % 9 <> 0 THEN (key % 5)::INT END AS r4 FROM predictions GROUP BY key), complete AS (SELECT *, row_number() OVER () AS i FROM rated WHERE r4 IS NOT NULL), long AS (SELECT i, unnest([1, 2, 3, 4]) AS k, unnest([r1, r2, r3, r4])::DOUBLE AS v FROM complete)"
-_HASH = "((({key} * 2654435761 + ({repeat} * 1009 + 42) * 40503) % 4294967296) * 48271) % 2147483647".format
+_HASH = "((({key} % 2147483647 * 2654435761 + ({repeat} * 1009 + 42) * 40503) % 4294967296) * 48271) % 2147483647".format
 
 
 def _iso(folds: str, by: str) -> str:
@@ -99,7 +99,36 @@ _HULL = """, pts AS (SELECT DISTINCT tree, x, y FROM cloud), ext AS (SELECT tree
 edges AS (SELECT a.tree, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bv FROM cand a JOIN cand b ON a.tree = b.tree AND (a.x <> b.x OR a.y <> b.y) JOIN cand c ON c.tree = a.tree GROUP BY ALL HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= -1e-9)
 SELECT tree, round(abs(sum(ax * bv - bx * ay)) / 2, 6) + 0.0 AS hull_area FROM edges GROUP BY tree"""
 
+_EDGES = "lh AS (SELECT greatest(0.5, floor(min(v) / 0.15) * 0.15) AS lo, ceil(max(v) / 0.15) * 0.15 AS hi0 FROM ok), lo AS (SELECT lo, CASE WHEN hi0 <= lo THEN lo + 0.15 ELSE hi0 END AS hi FROM lh), n AS (SELECT lo, hi, ceil((hi + 0.15 * 1.001 - lo) / 0.15)::INT AS k FROM lo), e AS (SELECT CASE WHEN k >= 6 THEN list_transform(range(0, k), lambda i: lo + i * 0.15::DOUBLE) ELSE list_transform(range(0, 7), lambda i: lo + i * (hi - lo) / 6) END AS edges FROM n)"
+_PANELS = f"{_HEIGHTS}, ok AS (SELECT round(height, 9) AS v, field FROM heights WHERE status = 'OK'), pn AS (SELECT 'all' AS panel, v FROM ok UNION ALL SELECT field::VARCHAR, v FROM ok), lim AS (SELECT greatest(0.45, min(v) - greatest(0.08, 0.03 * (max(v) - min(v)))) AS x_low, max(v) + greatest(0.08, 0.03 * (max(v) - min(v))) AS x_high FROM ok), {_EDGES}"
+_DENSITY = f"WITH {SQL}, boxes AS (SELECT tree, count(*) AS n_points, (max(x) - min(x)) * {{f}} AS width, (max(y) - min(y)) * {{f}} AS height FROM cloud GROUP BY tree), hulls AS ({{hull}}), dens AS (SELECT tree, n_points, width, height, width * height AS box_area, n_points / (width * height) AS box_density, hull_area * {{f}} * {{f}} AS hull_area FROM boxes JOIN hulls USING (tree))"
+
+
+def _density(f: float) -> str:
+    hull = _HULL.replace("round(abs(sum(ax * bv - bx * ay)) / 2, 6) + 0.0", "abs(sum(ax * bv - bx * ay)) / 2")
+    ctes, last = hull.lstrip(", ").rsplit("\nSELECT", 1)
+    return _DENSITY.format(f=f, hull=f"WITH {ctes} SELECT{last}")
+
+
+_METHOD_X = {"VRI_Threshold": "vri", "GlobalPF_Threshold": "gpf"}
+
+
+def _method(scheme: str, method: str) -> str:
+    """Threshold predictions of one method and scheme, from the descriptors themselves."""
+    label = "tree % 5" if scheme == "five_class" else "greatest(tree % 5 - 1, 0)"
+    rows = f"SELECT tree, (tree % 4 + 1)::INT AS field, ({label})::INT AS y, round({_METHOD_X[method]}, 9) AS x FROM base"
+    return "(" + _lofo(rows, "held").replace(f"WITH {SQL}, ob", f"WITH base AS ({_CLOUD} SELECT * FROM base), ob") + f" SELECT '{scheme}' AS scheme, '{method}' AS method, * FROM pr)"
+
+
 ORACLES = {
+    "method_thresholds": " UNION ALL ".join("SELECT * FROM " + _method(s, m) for s in ("five_class", "merge01") for m in _METHOD_X),
+    "height_panel_lines": f"{_PANELS} SELECT panel, count(*) AS n, {R('avg(v)', 'mean')}, {R('median(v)', 'median')}, {R('min(v)', 'min')}, {R('max(v)', 'max')}, {R('any_value(x_low)', 'x_low')}, {R('any_value(x_high)', 'x_high')} FROM pn, lim GROUP BY panel",
+    "height_panel_bins": f"{_PANELS} SELECT panel, least(len(list_filter(edges, lambda t: t <= v)), len(edges) - 1)::INT AS bin, count(*) AS n FROM pn, e WHERE v BETWEEN edges[1] AND edges[-1] GROUP BY 1, 2",
+    "height_panel_curves": f"{_PANELS}, s AS (SELECT panel, stddev_samp(v) * count(*) ** (-0.2) AS bw FROM pn GROUP BY panel HAVING count(*) >= 5 AND stddev_samp(v) > 1e-9), g AS (SELECT panel, bw, i::INT AS i, x_low + (x_high - x_low) * i / 349 AS x FROM s, lim, range(0, 350) r(i)), w AS (SELECT median(edges[k + 1] - edges[k]) AS width FROM e, range(1, (SELECT len(edges) FROM e)) q(k)) SELECT panel, i, {R('any_value(x)', 'x')}, round(sum(exp(-0.5 * ((x - v) / bw) ** 2) / (bw * sqrt(2 * pi()))) * any_value(width), 6) + 0.0 AS density FROM g JOIN pn USING (panel), w GROUP BY panel, i",
+    "density_report": f"{_density(0.3048)} SELECT tree, n_points, {R('width', 'width')}, {R('height', 'height')}, {R('box_area', 'box_area')}, {R('box_density', 'box_density')}, {R('hull_area', 'hull_area')}, {R('hull_area / box_area', 'hull_to_box')}, {R('n_points / hull_area', 'hull_density')} FROM dens",
+    "density_summary": f"{_density(1.0)} SELECT count(*) AS n_files, sum(n_points)::BIGINT AS points, {R('sum(hull_area)', 'hull_area')}, {R('avg(n_points / hull_area)', 'mean')}, {R('median(n_points / hull_area)', 'median')}, {R('min(n_points / hull_area)', 'min')}, {R('max(n_points / hull_area)', 'max')}, {R('stddev_samp(n_points / hull_area)', 'sd')}, {R('sum(n_points) / sum(hull_area)', 'pooled')} FROM dens",
+    "profile_fingerprint": f"{_CLOUD}, sh AS (SELECT tree::VARCHAR AS k, concat_ws(',', tree::VARCHAR, (tree % 5)::VARCHAR, {", ".join(f"printf('%.12g', sum((bin = {k})::INT) / any_value(n))" for k in range(1, 21))}) AS line FROM bins GROUP BY tree) SELECT sha256('TreeKey,Class,{','.join(f'p{k}' for k in range(1, 21))}' || chr(10) || string_agg(line, chr(10) ORDER BY k) || chr(10)) AS sha256 FROM sh",
+    "rating_pair_means": f"WITH {_RATED}, p AS (SELECT avg((p.v = q.v)::INT) AS exact, avg((abs(p.v - q.v) <= 1)::INT) AS w1 FROM long p JOIN long q ON p.i = q.i AND p.k < q.k GROUP BY p.k, q.k) SELECT {R('avg(exact)', 'exact')}, {R('avg(w1)', 'within1')} FROM p",
     "feature_row": f"SELECT * FROM ({_picked(*_FEATURE_COLUMNS)}) JOIN ({_CLOUD} {_PROFILE}) USING (tree)",
     "z_trim_depth": f"{_CLOUD} SELECT tree, count(*) AS n, {R('any_value(zlo)', 'zlo')}, {R('any_value(zhi)', 'zhi')}, {R('avg(d)', 'mean_depth')} FROM t GROUP BY tree",
     "profile20": f"{_CLOUD} {_PROFILE}",
@@ -111,7 +140,7 @@ ORACLES = {
     "height_status": f"{_HEIGHTS} SELECT tree, n_points, {R('height', 'height')}, status, field FROM heights",
     "height_summary": f"{_HEIGHTS} SELECT field, count(height) AS n, {R('avg(height)', 'mean')}, {R('stddev_samp(height)', 'sd')}, {R('quantile_cont(height, 0.25)', 'q1')}, {R('median(height)', 'median')}, {R('quantile_cont(height, 0.75)', 'q3')}, {R('min(height)', 'min')}, {R('max(height)', 'max')} FROM heights WHERE status = 'OK' GROUP BY GROUPING SETS ((), (field))",
     "height_histogram": f"{_HEIGHTS}, ok AS (SELECT round(height, 9) AS v FROM heights WHERE status = 'OK'), lh AS (SELECT greatest(0.5, floor(min(v) / 0.15) * 0.15) AS lo, ceil(max(v) / 0.15) * 0.15 AS hi0 FROM ok), lo AS (SELECT lo, CASE WHEN hi0 <= lo THEN lo + 0.15 ELSE hi0 END AS hi FROM lh), n AS (SELECT lo, hi, ceil((hi + 0.15 * 1.001 - lo) / 0.15)::INT AS k FROM lo), e AS (SELECT CASE WHEN k >= 6 THEN list_transform(range(0, k), lambda i: lo + i * 0.15::DOUBLE) ELSE list_transform(range(0, 7), lambda i: lo + i * (hi - lo) / 6) END AS edges FROM n) SELECT least(len(list_filter(edges, lambda t: t <= v)), len(edges) - 1)::INT AS bin, count(*) AS n FROM ok, e WHERE v BETWEEN edges[1] AND edges[-1] GROUP BY 1",
-    "height_kde": f"{_HEIGHTS}, s AS (SELECT count(*) AS n, stddev_samp(height) AS sd, min(height) AS lo, max(height) AS hi FROM heights), g AS (SELECT i::INT AS i, lo + (hi - lo) * i / 24 AS x, sd * n ** (-0.2) AS bw FROM s, range(0, 25) r(i) WHERE n >= 5 AND sd > 1e-9) SELECT i, {R('x', 'x')}, round(sum(exp(-0.5 * ((x - height) / bw) ** 2) / (bw * sqrt(2 * pi()))) * 0.15, 6) + 0.0 AS density FROM g, heights GROUP BY i, x",
+    "height_kde": f"{_HEIGHTS}, s AS (SELECT count(*) AS n, stddev_samp(height) AS sd, min(height) AS lo, max(height) AS hi FROM heights), g AS (SELECT i::INT AS i, lo + (hi - lo) * i / 349 AS x, sd * n ** (-0.2) AS bw FROM s, range(0, 350) r(i) WHERE n >= 5 AND sd > 1e-9) SELECT i, {R('x', 'x')}, round(sum(exp(-0.5 * ((x - height) / bw) ** 2) / (bw * sqrt(2 * pi()))) * 0.15, 6) + 0.0 AS density FROM g, heights GROUP BY i, x",
     "bbox_density": f"{_BOXES} SELECT tree, n_points, {R('width', 'width')}, {R('height', 'height')}, {R('box_area', 'box_area')}, {R('n_points / box_area', 'box_density')} FROM boxes WHERE box_area > 0",
     "pooled_density": f"{_BOXES} SELECT count(*) AS n_files, sum(n_points)::BIGINT AS points, {R('sum(n_points) / sum(box_area)', 'pooled')}, {R('avg(n_points / box_area)', 'mean_density')} FROM boxes WHERE box_area > 0",
     "hull_area": f"WITH {SQL}{_HULL}",
@@ -132,9 +161,9 @@ ORACLES = {
     "qwk_rank_weights": _scored("method", "FROM predictions WHERE truth <> 2 AND pred <> 2", R("qwk", "QWK")),
     "field_summary": f"WITH {SQL}, f AS (SELECT method, field, count(*) AS n, avg((truth = pred)::INT) AS a FROM predictions GROUP BY ALL) SELECT method, {R('sum(a * n) / sum(n)', 'Accuracy')}, {R('avg(a)', 'FieldUnweightedAccuracy')}, {R('min(a)', 'WorstFieldAccuracy')}, {R('max(a)', 'BestFieldAccuracy')}, {R('stddev_pop(a)', 'FieldAccuracySD')} FROM f GROUP BY method",
     "paired_methods": f"WITH {SQL} SELECT a.field, a.truth, a.pred AS a, b.pred AS b, count(*) AS n FROM predictions a JOIN predictions b ON a.key = b.key AND a.method = 'A' AND b.method = 'B' GROUP BY ALL",
-    "bootstrap_native": f"WITH {SQL}, g AS (SELECT key, field, truth, max((pred = truth)::INT) FILTER (method = 'A') - max((pred = truth)::INT) FILTER (method = 'B') AS gap FROM predictions GROUP BY key, field, truth), k AS (SELECT field, truth, count(*) AS n, count(*) FILTER (gap = 1) AS up, count(*) FILTER (gap = -1) AS down FROM g GROUP BY ALL), d AS (SELECT b, ((((b * 40503 + i * 9973 + field * 977 + truth * 331 + 42) * 48271) % 2147483647 * 16807) % 2147483647) % n AS spot, up, down FROM k, range(0, 40) r(b), range(0, (SELECT max(n) FROM k)) s(i) WHERE i < n), v AS (SELECT b, avg(CASE WHEN spot < up THEN 1 WHEN spot < up + down THEN -1 ELSE 0 END) AS v FROM d GROUP BY b) SELECT (SELECT round((sum(up) - sum(down)) / sum(n), 6) + 0.0 FROM k) AS a_minus_b, (SELECT sum(n)::BIGINT FROM k) AS n, {R('quantile_cont(v, 0.025)', 'ci_low')}, {R('quantile_cont(v, 0.975)', 'ci_high')} FROM v",
-    "stratified_folds": f"WITH o AS (SELECT o_orderkey AS key, left(o_orderpriority, 1)::INT AS label, r.repeat::INT AS repeat FROM orders, range(0, 3) r(repeat)), f AS (SELECT *, ((row_number() OVER (PARTITION BY repeat, label ORDER BY {_HASH(key='key', repeat='repeat')}, key) - 1) % 5)::INT AS fold FROM o) SELECT repeat, label, fold, count(*) AS n, sum(key)::BIGINT AS key_sum FROM f GROUP BY ALL",
-    "cv_summary": f"WITH o AS (SELECT o_orderkey AS key, left(o_orderpriority, 1)::INT - 1 AS label, (floor(o_totalprice / 20000)::BIGINT % 7)::INT AS g, r.repeat::INT AS repeat FROM orders, range(0, 3) r(repeat)), f AS (SELECT *, (row_number() OVER (PARTITION BY repeat, label ORDER BY {_HASH(key='key', repeat='repeat')}, key) - 1) % 5 AS fold FROM o), ff AS (SELECT DISTINCT repeat, fold AS held FROM f), tc AS (SELECT f.repeat, held, g, label, count(*) FILTER (fold <> held) AS n FROM f JOIN ff USING (repeat) GROUP BY ALL), best AS (SELECT repeat, held, g, arg_max(label, n * 100 - label) AS pred FROM tc GROUP BY ALL), a AS (SELECT f.repeat, avg((label = pred)::INT) AS a FROM f JOIN best ON best.repeat = f.repeat AND best.held = f.fold AND best.g = f.g GROUP BY f.repeat) SELECT {R('avg(a)', 'cv_accuracy')}, count(*) AS repeats FROM a",
+    "bootstrap_native": f"WITH {SQL}, g AS (SELECT key, field, truth, max((pred = truth)::INT) FILTER (method = 'A') - max((pred = truth)::INT) FILTER (method = 'B') AS gap FROM predictions GROUP BY key, field, truth), k AS (SELECT field, truth, count(*) AS n, count(*) FILTER (gap = 1) AS up, count(*) FILTER (gap = -1) AS down FROM g GROUP BY ALL), d AS (SELECT b, ((((b * 40503 + i * 9973 + field * 977 + truth * 331 + 42) * 48271) % 2147483647 * 16807) % 2147483647) % n AS spot, up, down FROM k, range(0, 3000) r(b), range(0, (SELECT max(n) FROM k)) s(i) WHERE i < n), v AS (SELECT b, avg(CASE WHEN spot < up THEN 1 WHEN spot < up + down THEN -1 ELSE 0 END) AS v FROM d GROUP BY b) SELECT (SELECT round((sum(up) - sum(down)) / sum(n), 6) + 0.0 FROM k) AS a_minus_b, (SELECT sum(n)::BIGINT FROM k) AS n, {R('quantile_cont(v, 0.025)', 'ci_low')}, {R('quantile_cont(v, 0.975)', 'ci_high')} FROM v",
+    "stratified_folds": f"WITH o AS (SELECT o_orderkey AS key, left(o_orderpriority, 1)::INT AS label, r.repeat::INT AS repeat FROM orders, range(0, 10) r(repeat)), f AS (SELECT *, ((row_number() OVER (PARTITION BY repeat, label ORDER BY {_HASH(key='key', repeat='repeat')}, key) - 1) % 5)::INT AS fold FROM o) SELECT repeat, label, fold, count(*) AS n, sum(key)::BIGINT AS key_sum FROM f GROUP BY ALL",
+    "cv_summary": f"WITH o AS (SELECT o_orderkey AS key, left(o_orderpriority, 1)::INT - 1 AS label, (floor(o_totalprice / 20000)::BIGINT % 7)::INT AS g, r.repeat::INT AS repeat FROM orders, range(0, 10) r(repeat)), f AS (SELECT *, (row_number() OVER (PARTITION BY repeat, label ORDER BY {_HASH(key='key', repeat='repeat')}, key) - 1) % 5 AS fold FROM o), ff AS (SELECT DISTINCT repeat, fold AS held FROM f), tc AS (SELECT f.repeat, held, g, label, count(*) FILTER (fold <> held) AS n FROM f JOIN ff USING (repeat) GROUP BY ALL), best AS (SELECT repeat, held, g, arg_max(label, n * 100 - label) AS pred FROM tc GROUP BY ALL), a AS (SELECT f.repeat, avg((label = pred)::INT) AS a FROM f JOIN best ON best.repeat = f.repeat AND best.held = f.fold AND best.g = f.g GROUP BY f.repeat) SELECT {R('avg(a)', 'cv_accuracy')}, count(*) AS repeats FROM a",
     "cv_gap": f"WITH {SQL}, c AS (SELECT method, avg(a) AS cv FROM (SELECT method, key % 5 AS f, avg((truth = pred)::INT) AS a FROM predictions GROUP BY ALL) GROUP BY method), l AS (SELECT method, avg(a) AS lofo FROM (SELECT method, field, avg((truth = pred)::INT) AS a FROM predictions GROUP BY ALL) GROUP BY method) SELECT method, {R('cv', 'cv')}, {R('lofo', 'lofo')}, {R('cv - lofo', 'gap')} FROM c JOIN l USING (method)",
     "balanced_weights": f"WITH {SQL}, c AS (SELECT field, truth, count(*) AS n FROM predictions WHERE method = 'A' GROUP BY ALL) SELECT field, truth, n, round((SELECT sum(n) FROM c d WHERE d.field = c.field) / ((SELECT count(*) FROM c d WHERE d.field = c.field) * n), 6) + 0.0 AS weight FROM c",
     "threshold_fit": _iso(f"WITH {SQL}, tr AS (SELECT source, x, class AS y FROM observations)", "source") + f" SELECT source, {R('med', 'median')}, o AS orient, array_to_string(classes, ',') AS classes, unnest(range(0, len(cuts)))::INT AS k, round(unnest(cuts), 6) + 0.0 AS cut FROM rules JOIN md USING (source) JOIN ori USING (source)",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import settings as S
-from treeline.operators import agreement, checks, cloud, models, scores, summaries, threshold
+from treeline.operators import agreement, checks, cloud, evaluate, scores, summaries, threshold
 from treeline.plans import standins
 from treeline.plans.standins import table
+from treeline.sources import las
 
 DIGITS = 6
 
@@ -51,7 +52,18 @@ def height_histogram(spark, sf_dir):
 
 
 def height_kde(spark, sf_dir):
-    return rounded(summaries.kde(heights_of(spark, sf_dir), "height", 25).select("i", "x", "density"))
+    return rounded(summaries.kde(heights_of(spark, sf_dir), "height").select("i", "x", "density"))
+
+
+def _panels(part):
+    """The numbers of a figure of heights: lines, bins or curves of the panels of all trees and of each field."""
+
+    def query(spark, sf_dir):
+        rows = heights_of(spark, sf_dir).where("status = 'OK'").select("field", F.round("height", 9).alias("height"))
+        found = summaries.panels(rows, "height", "field")[part]
+        return rounded(found.withColumn("bin", F.col("bin").cast("int")) if part == 1 else found.drop("y_high"))
+
+    return query
 
 
 def bbox_density(spark, sf_dir):
@@ -66,6 +78,21 @@ def hull_area(spark, sf_dir):
     return rounded(summaries.hull_areas(standins.cloud(spark, sf_dir), "tree"))
 
 
+def density_report(spark, sf_dir):
+    """Clouds in feet: the box and hull in metres, their ratio and both densities."""
+    return rounded(summaries.density_report(standins.cloud(spark, sf_dir), "tree", las.UNITS["international_feet"]))
+
+
+def density_summary(spark, sf_dir):
+    return rounded(summaries.density_summary(summaries.density_report(standins.cloud(spark, sf_dir), "tree")))
+
+
+def profile_fingerprint(spark, sf_dir):
+    """The digest of the bins' shares, which are exact quotients of counts."""
+    rows = _features(spark, sf_dir).withColumns({"TreeKey": F.col("tree").cast("string"), "Class": (F.col("tree") % 5).cast("int")})
+    return checks.fingerprint(rows)
+
+
 def validate_flags(spark, sf_dir):
     rows = standins.observations(spark, sf_dir).select(F.col("source").alias("Source"), F.when(F.col("tree") % 5 == 0, 50).otherwise(60).alias("Altitude"), F.col("tree").cast("string").alias("TreeKey"), (F.col("class") + F.when(F.col("tree") % 11 == 0, 3).otherwise(0)).alias("Class"), F.col("field").cast("string").alias("FieldID"), "x")
     return checks.rule_counts(rows, ["x"])
@@ -88,8 +115,10 @@ def canonical_order_rank(spark, sf_dir):
     rows = standins.observations(spark, sf_dir).select("tree", "source")
     manifest = rows.where("tree % 3 <> 0").withColumn("rank", F.col("tree") * 2 + (F.col("source") == "L1").cast("int"))
     ranked = checks.with_rank(rows, manifest, ["tree", "source"])
-    # The listed rows have their rank already; only a report of positions numbers them all.
-    return ranked.select("tree", "source", "rank", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "tree", "source")).alias("position"))
+    # Ranks come in blocks of 4096, and after them the rows that aren't listed, in blocks of trees.
+    block = F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / 4096)).otherwise(F.lit(1 << 52) + F.floor(F.col("tree") / 4096))
+    placed = checks.positions(ranked, [], block, [F.col("rank").asc_nulls_last(), "tree", "source"])
+    return placed.select("tree", "source", "rank", (F.col("position") + 1).cast("int").alias("position"))
 
 
 def label_merge(spark, sf_dir):
@@ -114,8 +143,9 @@ def sensor_agreement(spark, sf_dir):
 def sensor_bias_shift(spark, sf_dir):
     """Per held field the median sensor difference of the others, taken off the held field's values."""
     p = _paired(spark, sf_dir)
-    fields = p.select(F.col("field").alias("held")).distinct()
-    shift = p.crossJoin(F.broadcast(fields)).where("field <> held").groupBy("held").agg(F.median(F.col("x_h300") - F.col("x_l1")).alias("shift"))
+    fields = [r[0] for r in p.select("field").distinct().orderBy("field").collect()]  # a few
+    laid = p.withColumn("held", F.explode(F.array(*map(F.lit, fields))))
+    shift = laid.where("field <> held").groupBy("held").agg(F.median(F.col("x_h300") - F.col("x_l1")).alias("shift"))
     return rounded(p.join(F.broadcast(shift), F.col("field") == F.col("held")).select("tree", "held", "shift", (F.col("x_h300") - F.col("shift")).alias("shifted")))
 
 
@@ -148,17 +178,21 @@ def paired_methods(spark, sf_dir):
     return both.groupBy("field", "truth", "a", "b").agg(F.count("*").alias("n"))
 
 
-def bootstrap_native(spark, sf_dir, resamples: int = 40):
+def bootstrap_native(spark, sf_dir, resamples: int = S.RESAMPLES):
     """Paired bootstrap of the accuracy difference within (field, truth), by the counts of outcomes in each stratum.
 
     A stratum's rows fall into three kinds (A better, B better, equal), so a
-    resample is drawn over kinds: one draw for each row by an arithmetic hash.
+    resample is drawn over kinds: one draw for each row by an arithmetic hash,
+    the draws of a stratum in ranges of 4096. ``bootstrap_pairs`` draws counts
+    instead and has all metrics; this one can be stated in SQL.
     """
     p = standins.predictions(spark, sf_dir)
     hit = lambda m: F.max(F.when(F.col("method") == m, (F.col("pred") == F.col("truth")).cast("int")))
     rows = p.groupBy("key", "field", "truth").agg((hit("A") - hit("B")).alias("gap"))
     kinds = rows.groupBy("field", "truth").agg(F.count("*").alias("n"), F.count_if(F.col("gap") == 1).alias("up"), F.count_if(F.col("gap") == -1).alias("down"))
-    draws = kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), ).select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    draws = kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("field", "truth", "b")
+    draws = draws.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4096))).alias("part"))
+    draws = draws.select("*", F.explode(F.sequence(F.col("part") * 4096, F.least(F.col("part") * 4096 + 4095, F.col("n") - 1))).alias("i"))
     h = F.pmod(((F.col("b") * 40503 + F.col("i") * 9973 + F.col("field") * 977 + F.col("truth") * 331 + 42).cast("long") * 48271), F.lit(2147483647))
     at = F.pmod(F.pmod(h * 16807, F.lit(2147483647)), F.col("n"))
     gap = F.when(at < F.col("up"), 1).when(at < F.col("up") + F.col("down"), -1).otherwise(0)
@@ -169,14 +203,14 @@ def bootstrap_native(spark, sf_dir, resamples: int = 40):
 
 def stratified_folds(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
-    f = checks.folds(o, "key", "label", repeats=3)
+    f = checks.folds(o, "key", "label")
     return f.groupBy("repeat", "label", "fold").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
 def cv_summary(spark, sf_dir):
     """Mean over repeats of the accuracy of a vote by training rows of each fold: the most frequent class of the others."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"), (F.floor(F.col("o_totalprice") / 20000) % 7).cast("int").alias("g"))
-    f = checks.folds(o.select("key", "label"), "key", "label", repeats=3).join(o.select("key", "g"), "key")
+    f = checks.folds(o.select("key", "label"), "key", "label").join(o.select("key", "g"), "key")
     counts = f.groupBy("repeat", "fold", "g", "label").agg(F.count("*").alias("n"))
     all_ = counts.groupBy("repeat", "g", "label").agg(F.sum("n").alias("t"))
     cells = counts.select("repeat", "fold").distinct().join(all_, "repeat").join(counts, ["repeat", "fold", "g", "label"], "left").withColumn("train", F.col("t") - F.coalesce("n", F.lit(0)))
@@ -284,23 +318,105 @@ def controls_union(spark, sf_dir):
     return rounded(fresh.unionByName(archived, allowMissingColumns=True))
 
 
-def _model(kind, features, trees=60):
-    def query(spark, sf_dir):
-        rows = _features(spark, sf_dir).withColumns({"field": (F.col("tree") % 4 + 1).cast("int"), "class": (F.col("tree") % 5).cast("int")})
-        out = models.leave_one_group_out(rows.select("tree", "field", "class", *features).persist(), features, "class", "field", kind, trees)
-        return out.select("tree", F.col("field").alias("held_field"), F.col("class").alias("truth"), "pred")
+def _fixed(rows: DataFrame) -> DataFrame:
+    """A feature table, one row a tree and as it is from now on: the models read it once a step.
 
-    return query
+    It is made once and kept as local rows, like the table that an extraction leaves (some thousand trees at the reference's size).
+    """
+    return rows.sparkSession.createDataFrame(rows.toArrow())
+
+
+def _trees(spark, sf_dir, by=("tree",)):
+    """The stand-in clouds' feature table. Half a supplier's points are too few for the cells; the share of all points stands for those features then."""
+    rows = cloud.features(standins.cloud(spark, sf_dir), list(by))
+    if len(by) > 1:
+        rows = rows.withColumns({c: F.coalesce(c, "GlobalPF50") for c in ("CorePF50", "PGF50", "CPC90")})
+    return _fixed(rows.select(F.col("tree").alias("key"), (F.col("tree") % 4 + 1).cast("int").alias("field"), (F.col("tree") % 5).cast("int").alias("class"), *[c for c in rows.columns if c != "tree"]))
+
+
+def _named(out: DataFrame, *columns: str) -> DataFrame:
+    return out.select(*columns, F.col("key").alias("tree"), "held_field", "truth", "pred")
+
+
+def lr_lofo(spark, sf_dir):
+    return _named(evaluate.leave_one_field_out(_trees(spark, sf_dir), ["MidpointCompact_LR"], ["five_class"]))
+
+
+def rf_lofo(spark, sf_dir):
+    return _named(evaluate.leave_one_field_out(_trees(spark, sf_dir), ["MidpointCompact_RF"], ["five_class"]))
+
+
+#: The methods whose fits are made all together; a forest is one distributed fit for each fold.
+TOGETHER = [m for m, (kind, _) in S.METHODS.items() if kind != "RF"]
+
+
+def methods_lofo(spark, sf_dir):
+    """Every method and scheme, field by field."""
+    return _named(evaluate.leave_one_field_out(_trees(spark, sf_dir)), "scheme", "method")
+
+
+def method_thresholds(spark, sf_dir):
+    """The threshold methods of ``methods_lofo``, on features to nine places."""
+    rows = _trees(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("VRI", "GlobalPF50")})
+    return _named(evaluate.leave_one_field_out(rows, [m for m, (kind, _) in S.METHODS.items() if kind == "THRESHOLD"]), "scheme", "method")
+
+
+def methods_summary(spark, sf_dir):
+    """Field and repeated-fold results of both schemes side by side, with the gap between them."""
+    rows, by = _trees(spark, sf_dir), ["scheme", "method"]
+    lofo = evaluate.summary(evaluate.leave_one_field_out(rows, TOGETHER), by)
+    cv = evaluate.repeat_means(evaluate.repeated_folds(rows, TOGETHER), by)
+    return rounded(evaluate.with_gap(lofo, cv, by))
+
+
+def altitude_audit(spark, sf_dir):
+    """Each source as an altitude."""
+    rows = _trees(spark, sf_dir, ("tree", "source")).withColumn("altitude", F.when(F.col("source") == "L1", 60).otherwise(120))
+    return rounded(evaluate.altitudes(rows.drop("source")))
+
+
+def _sensor_rows(spark, sf_dir):
+    return evaluate.paired(_trees(spark, sf_dir, ("tree", "source")), sorted({f for m in S.SENSOR_METHODS for f in S.METHODS[m][1]}))
+
+
+def sensor_transfer(spark, sf_dir):
+    """Five ways to carry the regressions from one sensor to the other."""
+    return rounded(evaluate.summary(evaluate.transfer(_sensor_rows(spark, sf_dir)), ["method", "strategy"]))
 
 
 def pooled_sensor_lr(spark, sf_dir):
     """Train on both sensors with a flag, test the second sensor's rows of the held field."""
-    o = standins.observations(spark, sf_dir).withColumn("flag", (F.col("source") == "H300").cast("double")).persist()
-    out = None
-    for f in (1, 2, 3):
-        part = models.fit_predict(o.where(F.col("field") != f), o.where((F.col("field") == f) & (F.col("source") == "H300")), ["x", "flag"], "class")
-        out = part if out is None else out.unionByName(part)
-    return out.select("tree", F.col("field").alias("held_field"), F.col("class").alias("truth"), "pred")
+    return _named(evaluate.transfer(_sensor_rows(spark, sf_dir), ["MidpointCompact_LR"]).where("strategy = 'POOLED_SENSOR_AWARE_H300'"))
+
+
+def bootstrap_pairs(spark, sf_dir):
+    """Five metrics of the methods that the tables have predictions of, by 3,000 draws of counts."""
+    p = standins.predictions(spark, sf_dir).withColumnRenamed("field", "held_field")
+    merged = p.withColumns({"truth": scores.merged(F.col("truth")), "pred": scores.merged(F.col("pred")), "scheme": F.lit("merge01")})
+    return rounded(evaluate.paired_bootstrap(p.withColumn("scheme", F.lit("five_class")).unionByName(merged), [("A", "B")]))
+
+
+def _profile(kind):
+    """Accuracy and the other metrics of a profile control, over fields and over repeated folds."""
+
+    def query(spark, sf_dir):
+        lofo, cv = evaluate.profile_control(_trees(spark, sf_dir), kind)
+        name = F.lit(f"Profile20_{kind}").alias("method")
+        both = evaluate.with_gap(evaluate.summary(lofo.withColumn("method", name), ["method"]), evaluate.repeat_means(cv.withColumn("method", name), ["method"]), ["method"])
+        if "epoch" in cv.columns:
+            both = both.join(F.broadcast(cv.agg(F.avg("epoch").alias("MeanSelectedEpoch"))), F.lit(True))  # one row
+        return rounded(both)
+
+    return query
+
+
+def rank_corr_p(spark, sf_dir):
+    """Rank correlations of each field with their two-sided p-values."""
+    return rounded(agreement.with_p_values(_correlated(spark, sf_dir)))
+
+
+def rating_pair_means(spark, sf_dir):
+    return rounded(agreement.mean_agreement(agreement.rating_pairs(_ratings(spark, sf_dir), RATERS)))
 
 
 QUERIES = {
@@ -322,5 +438,8 @@ QUERIES = {
     "rating_summary": rating_summary, "rating_distribution": rating_distribution, "rating_pairs": rating_pairs,
     "rank_corr_by_group": rank_corr_by_group, "fisher_ci": fisher_ci, "random_effects": random_effects, "level_distribution": level_distribution,
     "grade_errors": grade_errors, "controls_union": controls_union,
-    "lr_lofo": _model("LR", ["CorePF50", "PGF50"]), "rf_lofo": _model("RF", ["CorePF50", "PGF50"]), "pooled_sensor_lr": pooled_sensor_lr,
+    "height_panel_lines": _panels(0), "height_panel_bins": _panels(1), "height_panel_curves": _panels(2), "density_report": density_report, "density_summary": density_summary,
+    "profile_fingerprint": profile_fingerprint, "rank_corr_p": rank_corr_p, "rating_pair_means": rating_pair_means,
+    "lr_lofo": lr_lofo, "rf_lofo": rf_lofo, "pooled_sensor_lr": pooled_sensor_lr, "methods_lofo": methods_lofo, "method_thresholds": method_thresholds, "methods_summary": methods_summary,
+    "altitude_audit": altitude_audit, "sensor_transfer": sensor_transfer, "bootstrap_pairs": bootstrap_pairs, "profile_lr": _profile("LR"), "profile_cnn": _profile("CNN"),
 }
