@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Arrays from this size on go back to the system when they are freed; by itself the C library keeps what was once used, and a worker lives through many tasks.
+LARGE_ARRAY, _MMAP_THRESHOLD = 4 << 20, -3
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(_MMAP_THRESHOLD, LARGE_ARRAY)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +69,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
