@@ -395,7 +395,7 @@ def test_clashing_columns_pass_unchanged(spark, clashing):
         assert all(r[c] == f"mine {c}" for r in rows for c in CLASHES if c not in new)
     assert decontam.contaminated(clashing, bench).count() == 0
     assert sharding.shard(clashing, 2).count() == packing.pack_documents(clashing, Q.tokenizer_path()).count() == 10
-    assert secrets.scan(clashing, secrets.fit(secrets.labelled_findings(spark, 200), trees=3)).count() == 0
+    assert secrets.scan(clashing, secrets.fit(secrets.labelled_findings(spark, count=200), trees=3)).count() == 0
     captures = clashing.select("*", F.lit("http://bad.org/").alias("url"), F.lit("2024-02-02").cast("date").alias("fetched_on"))
     entries = spark.createDataFrame([("bad.org", "block", "2024-01-01")], "pattern string, status string, listed_on string")
     judged = urllist.judge(captures, entries).collect()
@@ -435,14 +435,25 @@ def test_all_languages_are_learned(spark, monkeypatch):
 
 
 def test_secrets(spark, odd, empty):
-    labelled = secrets.labelled_findings(spark, 1200)
-    model = secrets.fit(labelled, trees=20)
-    held = model.transform(secrets.labelled_findings(spark, 400, seed=77).selectExpr("label", "features").withColumn("vector", secrets.array_to_vector("features"))).toPandas()
-    assert (held.prediction == held.label).mean() > 0.93
-    texts = ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "tiontheandingerentouqueier and"]
-    got = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan(docs_of(spark, texts), model).collect()}
-    assert got == {(0, 9): 1, (1, 7): 0, (2, 0): 0}
-    assert secrets.scan(odd, model).count() == 0 and secrets.scan(empty, model).count() == 0
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    known = secrets.corpus_words(docs)
+    counts = {}
+    for r in docs.collect():
+        for w in {x.strip(secrets.string.punctuation).lower() for x in set((r["text"] or "").split())}:
+            counts[w] = counts.get(w, 0) + 1
+    often = {w for w, n in counts.items() if n >= 4 and w.isalpha() and 4 <= len(w) <= 16}
+    assert often <= known and len(known) <= secrets.WORDS and secrets.corpus_words(empty) == frozenset()
+    model = secrets.fit(secrets.labelled_findings(spark, known, 2400), trees=30)
+    held = model.transform(secrets.labelled_findings(spark, known, 800, seed=77).selectExpr("label", "features").withColumn("vector", secrets.array_to_vector("features"))).toPandas()
+    precision, recall = held.label[held.prediction == 1].mean(), held.prediction[held.label == 1].mean()
+    assert precision > 0.93 and recall > 0.93
+    texts = ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "tiontheandingerentouqueier and", 'password = "Xk9mQz71vB"', "password: Xk9#qT2!mZ7$wR4@", "see https://user:hR7xq92LmZ@host.org/a", "password: required field", "the key: value words follow", "Password = '********'"]
+    got = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan(docs_of(spark, texts), model, known).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 6} == {(0, 9): 1, (1, 7): 0, (2, 0): 0, (3, 12): 1, (4, 10): 1, (5, 17): 1}
+    assert sum(v for k, v in got.items() if k[0] > 5) == 0
+    assert secrets.scan(odd, model, known).count() == 0 and secrets.scan(empty, model).count() == 0
+    twice = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (1, texts[0] + "\n" + texts[0])], "doc_id long, text string")
+    assert secrets.scan(twice, model, known).where("is_secret = 1").count() == 4
 
 
 def test_url_list(spark):

@@ -14,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.corpus_words(docs)
+    return secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark, words)), words)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

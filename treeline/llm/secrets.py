@@ -1,17 +1,24 @@
 """Secret scan: candidates in whole texts, a random forest against false positives.
 
-Candidates are runs of ``LEAST`` or more letters, digits and ``+/=_-``. Each
-has features of its length, its character transitions, the part that
-dictionary words cover, the path it stands in and the words beside it. A
+Candidates are runs of ``LEAST`` or more letters, digits and ``+/=_-``, and
+from ``SHORTEST`` characters of any kind on, up to ``LONGEST``, the value that
+follows a word such as ``password`` and ``=`` or ``:``, and the password of an
+address. Each has features of its length, its character transitions, the part
+that dictionary words cover, the path it stands in and the words beside it. A
 random forest learned from labelled findings gives the probability that a
 candidate is a secret. ``labelled_findings`` makes a labelled set by rule;
-any table of the same columns can take its place.
+any table of the same columns can take its place. The dictionary is what the
+corpus itself writes often: words of letters alone, by the number of
+documents, counted over all of them.
 
 Defined cases: null or empty texts have no candidates; a candidate at the
-very start or end of a text has empty neighbouring words; equal candidates
-are findings each; with labels of one class only every finding gets that
-class. Long texts are scanned whole. Values of secrets aren't returned, only
-their place, length and SHA-256.
+very start or end of a text has empty neighbouring words; of candidates that
+overlap the longest is taken, then the first; equal candidates, in one text or
+in repeated rows, are findings each, under null and repeated ids too; with
+labels of one class only every finding gets that class; words of equal
+frequency enter the dictionary in their order; an empty table has no findings
+and an empty dictionary. Long texts are scanned whole. Other columns aren't
+read. Values of secrets aren't returned, only their place, length and SHA-256.
 """
 
 from __future__ import annotations
@@ -30,28 +37,60 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import only, slices
+from treeline.llm.common import coded_words, only, slices
 
 LEAST = 16
 TREES = 40
 DEPTH = 8
 THRESHOLD = 0.5
+SHORTEST, LONGEST = 6, 128
+#: Words of the dictionary, their least and greatest length, and the documents that have to write them.
+WORDS, WORD_LENGTHS, LEAST_DOCS = 20_000, (4, 16), 3
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/=_-]{{{LEAST},}}")
+_VALUE = f"{{{SHORTEST},{LONGEST}}}"
+KEYED = re.compile(rf"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credentials?)["']?\s{{0,8}}[:=]>?\s{{0,8}}(?:"([^"\n]{_VALUE})"|'([^'\n]{_VALUE})'|([^\s"'<>]{_VALUE}))""")
+ADDRESS = re.compile(rf"://[^\s/:@]{{1,64}}:([^\s/@]{_VALUE})@")
 BESIDE = 48
 
-# Words that count as dictionary words, and words that speak for and against a secret beside it.
-DICTIONARY = "about access account action address after again allow also always apple archive article author auto back base before black blue board book branch build button case change channel check city class client code color comment common config content copy country custom data date default delete demo design device document domain edit email entry error event example false field file find first flag folder form format from function general green group guide hand head height help here history home house image import index info input item java json keep kind label language large last left level library license light line link list local long look made main make manual master media member menu message method mode model month more music name network never news next night none note number object office open option order other page paper part pass path people phone photo place plan play point post print private process product profile project public query read record remote report request result return right root sample save script search section security select send server service session setting share simple site size some sort source start state store string style sub summary support system table target team temp test text that their them then there this time title tool total track type under unit update upload user value version video view water week white width with word work world write year your".split()
+# Plain words for made findings, and words that speak for and against a secret beside it.
+PLAIN = "about access account action address after again allow also always apple archive article author auto back base before black blue board book branch build button case change channel check city class client code color comment common config content copy country custom data date default delete demo design device document domain edit email entry error event example false field file find first flag folder form format from function general green group guide hand head height help here history home house image import index info input item java json keep kind label language large last left level library license light line link list local long look made main make manual master media member menu message method mode model month more music name network never news next night none note number object office open option order other page paper part pass path people phone photo place plan play point post print private process product profile project public query read record remote report request result return right root sample save script search section security select send server service session setting share simple site size some sort source start state store string style sub summary support system table target team temp test text that their them then there this time title tool total track type under unit update upload user value version video view water week white width with word work world write year your".split()
 FOR = frozenset("token key apikey secret password passwd pwd auth bearer credential credentials access private client".split())
 AGAINST = frozenset("sha sha1 sha256 md5 checksum digest commit revision uuid guid etag hash integrity example sample blob tree build".split())
 
-FEATURES = ["length", "class_changes", "letter_digit_changes", "vowel_turns", "entropy", "digit_share", "upper_share", "symbol_share", "hex_only", "dictionary_cover", "slashes", "in_path", "in_url", "quoted", "assigned", "for_words", "against_words", "distinct_share"]
+FEATURES = ["length", "class_changes", "letter_digit_changes", "vowel_turns", "entropy", "digit_share", "upper_share", "symbol_share", "hex_only", "dictionary_cover", "slashes", "in_path", "in_url", "quoted", "assigned", "keyed", "in_address", "for_words", "against_words", "distinct_share"]
 FINDING = "start long, length long, value_sha256 string, features array<double>"
-_WORDS = sorted(DICTIONARY, key=len, reverse=True)
-_DICT = re.compile("|".join(w for w in _WORDS if len(w) >= 4))
 _SPLIT = re.compile(r"[A-Za-z0-9]+")
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def corpus_words(docs: DataFrame) -> frozenset[str]:
+    """The words that most documents write, ``WORDS`` at most."""
+
+    def counted(batches):
+        for part in slices(batches):
+            codes, starts, distinct = coded_words(part["text"].to_pylist())
+            doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            times = np.bincount(np.unique(doc * max(1, len(distinct)) + codes) % max(1, len(distinct)), minlength=len(distinct)) if len(codes) else []
+            found: dict[str, int] = {}
+            for word, n in zip(distinct, times, strict=True):
+                word = word.strip(string.punctuation).lower()
+                if WORD_LENGTHS[0] <= len(word) <= WORD_LENGTHS[1] and word.isalpha():
+                    found[word] = found.get(word, 0) + int(n)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "docs"])
+
+    often = only(docs, "text").mapInArrow(counted, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    return frozenset(r["word"] for r in often.orderBy(F.desc("docs"), "word").limit(WORDS).select("word").collect())
+
+
+def covered(low: str, dictionary: frozenset[str]) -> int:
+    """Characters that words of the dictionary cover, the longest from each place on."""
+    at = total = 0
+    while at <= len(low) - WORD_LENGTHS[0]:
+        n = next((n for n in range(min(WORD_LENGTHS[1], len(low) - at), WORD_LENGTHS[0] - 1, -1) if low[at : at + n] in dictionary), 0)
+        total, at = total + n, at + max(1, n)
+    return total
+
+
+def features(text: str, start: int, end: int, dictionary: frozenset[str], keyed: bool = False, in_address: bool = False) -> list[float]:
     value, before, after = text[start:end], text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
     n = len(value)
@@ -71,27 +110,48 @@ def features(text: str, start: int, end: int) -> list[float]:
         kinds.count(1) / n,
         kinds.count(3) / n,
         float(all(c in "0123456789abcdef" for c in low)),
-        sum(len(m) for m in _DICT.findall(low)) / n,
+        covered(low, dictionary) / n,
         float(value.count("/")),
         float(before[-1:] in ("/", "\\", ".") and bool(before) or after[:1] in ("/", "\\") and bool(after)),
         float("://" in before.split(" ")[-1] or "www." in before.split(" ")[-1]),
         float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before) and bool(after)),
         float(re.search(r"[=:]\s*[\"'`]?$", before) is not None),
+        float(keyed),
+        float(in_address),
         float(len(beside & FOR)),
         float(len(beside & AGAINST)),
         len(counts) / n,
     ]
 
 
-def findings(text: str | None) -> Iterator[tuple[int, int, str, list[float]]]:
-    for m in CANDIDATE.finditer(text or ""):
-        yield m.start(), m.end() - m.start(), hashlib.sha256(m[0].encode()).hexdigest(), features(text, *m.span())
+def spans(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, after a key word, in an address) of the candidates, in order."""
+    found = [(*m.span(1), False, True) for m in ADDRESS.finditer(text)]
+    found += [(*m.span(m.lastindex), True, False) for m in KEYED.finditer(text)]
+    known = {f[:2] for f in found}
+    found += [(*m.span(), False, False) for m in CANDIDATE.finditer(text) if m.span() not in known]
+    last = None
+    for span in sorted(found):  # of overlapping ones the longest
+        if last is None or span[0] >= last[1]:
+            if last is not None:
+                yield last
+            last = span
+        elif span[1] - span[0] > last[1] - last[0]:
+            last = span
+    if last is not None:
+        yield last
+
+
+def findings(text: str | None, dictionary: frozenset[str]) -> Iterator[tuple[int, int, str, list[float]]]:
+    for start, end, keyed, in_address in spans(text or ""):
+        yield start, end - start, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest(), features(text, start, end, dictionary, keyed, in_address)
 
 
-def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) -> DataFrame:
+def labelled_findings(spark: SparkSession, dictionary: frozenset[str] = frozenset(), count: int = 4000, seed: int = 5) -> DataFrame:
     """``features, label`` of findings made by rule: keys, tokens and passwords in their usual places, and what looks like them."""
     rng = random.Random(seed)
-    word = lambda: rng.choice(DICTIONARY)
+    known = sorted(dictionary) or PLAIN
+    word = lambda: rng.choice(rng.choice([PLAIN, known]))
     pick = lambda letters, n: "".join(rng.choices(letters, k=n))
     hexa, wide = "0123456789abcdef", string.ascii_letters + string.digits
     name = lambda: rng.choice(["token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "private_key"])
@@ -100,7 +160,13 @@ def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) ->
     syllables = ["tion", "ing", "the", "ent", "er", "an", "eau", "ment", "sch", "ier", "ou", "que", "lich", "and", "es"]
     letters = "etaoinsrhldcumfpgwybvkxjqz"
     invented = lambda: rng.choice([str.lower, str.upper, str.title])("".join(rng.choice([rng.choice(syllables), pick(letters[:12], rng.randint(1, 4))]) for _ in range(rng.randint(6, 14))))
+    short = lambda: pick(wide, rng.randint(8, 15))
+    signed = lambda: "".join(rng.sample(pick(wide, rng.randint(6, 12)) + pick("!#$%^&*?.~", rng.randint(2, 4)), k=8))
+    login = lambda: rng.choice(["password", "passwd", "pwd", "db_password", "secret", "PASSWORD"])
     true = [
+        lambda: f'{login()} = "{rng.choice([short, signed])()}"',
+        lambda: f"{login()}: {rng.choice([short, signed])()}",
+        lambda: f"{rng.choice(['postgres', 'https', 'ftp'])}://{word()}:{rng.choice([short, signed, value])()}@{word()}.example.org/{word()}",
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
         lambda: "ghp_" + pick(wide, 36),
         lambda: f'{name()} = "{value()}"',
@@ -110,6 +176,12 @@ def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) ->
         lambda: f"{name()}: {value()}",
     ]
     false = [
+        lambda: f'{login()}: {word()}{rng.choice(["_", "-", ""])}{word()}',
+        lambda: f'{name()} = "{word()} {word()} {word()}"',
+        lambda: f"{login()}={rng.choice(['${', '%', '<your_', 'os.environ['])}{word()}_{word()}{rng.choice(['}', '%', '>', ']'])}",
+        lambda: f"{login()}: {rng.choice(['********', '••••••••', 'changeme', 'required', 'undefined', 'example', 'None, optional', 'string; the'])} {word()}",
+        lambda: f"{rng.choice(['the key', 'a token', 'my secret'])}: {word()}{rng.choice([',', '.', ''])} {word()} {word()}",
+        lambda: f"https://{word()}:{word()}{word()}@example.org",
         lambda: f"commit {pick(hexa, 40)}",
         lambda: f"sha256: {pick(hexa, 64)}",
         lambda: f'id = "{uuid.UUID(int=rng.getrandbits(128))}"',
@@ -132,7 +204,7 @@ def labelled_findings(spark: SparkSession, count: int = 3000, seed: int = 5) ->
     for k in range(count):
         label = k % 2
         text = f"{sentence()} {rng.choice(true if label else false)()} {sentence()}"
-        rows += [(f, float(label)) for _, _, _, f in findings(text)]
+        rows += [(f, float(label)) for _, _, _, f in findings(text, dictionary)]
     return spark.createDataFrame(rows, "features array<double>, label double")
 
 
@@ -141,12 +213,14 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomFo
     return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=3).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, start, length, value_sha256, score, is_secret`` of every candidate."""
+def scan(docs: DataFrame, model: RandomForestClassificationModel, dictionary: frozenset[str] = frozenset(), threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, start, length, value_sha256, score, is_secret`` of every candidate; the dictionary is the one that the model was learned with."""
+    known = docs.sparkSession.sparkContext.broadcast(dictionary)  # WORDS at most
 
     def found(batches):
+        dictionary = known.value
         for part in slices(batches):
-            rows = [(i, *f) for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for f in findings(text)]
+            rows = [(i, *f) for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for f in findings(text, dictionary)]
             ids, start, length, digest, values = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string()), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "start", "length", "value_sha256", "features"])
 
