@@ -142,7 +142,10 @@ def fit(docs: DataFrame, folds: int = 3, held_out: int = 1, per_lang: int = PER_
                 yield pa.RecordBatch.from_pydict({"lang": part["lang"], "h": part["h"], "places": pa.array(places, pa.list_(pa.int32()))})
 
     table = taken.mapInArrow(occurring, "lang string, h long, places array<int>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
-    return train([x.values.to_numpy() for x in table["places"]], table["lang"].to_pylist())
+    model = train([x.values.to_numpy() for x in table["places"]], table["lang"].to_pylist())
+    del table
+    pa.default_memory_pool().release_unused()  # the driver doesn't keep the sample
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

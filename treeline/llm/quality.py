@@ -167,7 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
         return QualityModel(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2)), np.log(np.clip([counts[0], counts[1]], 1, None) / sum(counts.values())))
     back = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])[y]
     rows = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(table["places"], table["times"], strict=True)]
-    return train(rows, y, back / back.mean())
+    model = train(rows, y, back / back.mean())
+    del rows, table
+    pa.default_memory_pool().release_unused()  # the driver doesn't keep the sample
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
