@@ -121,16 +121,17 @@ def train(found: list[np.ndarray], langs: list[str]) -> LanguageModel:
 def fit(docs: DataFrame, folds: int = 3, held_out: int = 1, per_lang: int = PER_LANG) -> LanguageModel:
     """Learn from the text and language of documents outside the held-out fold."""
     known = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & (fold("doc_id", folds) != held_out))
-    counts = known.groupBy("lang").count().collect()  # a row a language
+    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    # Different rows, about; a row a language.
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not counts:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((1, 0)))
     per_lang = max(1, min(per_lang, SAMPLE_ROWS // len(counts)))
-    # A share of each language by a hash, so that no sort moves the texts; twice the aim, cut to the bound below.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / r["count"] + 1e-9))])
-    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    # A share of each language by a hash, so that no sort moves the texts; twice the aim and 40 more, so that none is left without, cut to the bound below.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (2 * per_lang + 40) / r["n"])])
     place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     some = known.where(place < F.try_element_at(share, F.col("lang")))
-    # About 2 * per_lang keys a language are left; rows that repeat id and text count once, also where they are read.
+    # About 2 * per_lang + 40 keys a language are left; rows that repeat id and text count once, also where they are read.
     keys = some.select("lang", "h").distinct()
     top = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang).drop("n")
     taken = some.join(F.broadcast(top), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
