@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chosenpath, chroma, decontam, langid, linededup, packing, quality, secrets, sharding, urllist
+from treeline.llm import alignment, bytepair, chosenpath, chroma, decontam, langid, linededup, packing, quality, secrets, sharding, urllist, veccodes
 from treeline.llm.common import fold
 
 
@@ -34,10 +34,10 @@ def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(matches.select(F.lit("match").alias("kind"), none.cast("long").alias("vec_id"), "*"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("group_key").alias("group_sha256"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    coded = bytepair.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).select("doc_id", "ids", "ends")
+    return bytepair.digests(bytepair.decode(coded, ranks))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,5 +100,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sharding": op10_sharding,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_vector_code_compression": op12_vector_code_compression,
+    "op13_byte_level_bpe": op13_byte_level_bpe,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": urllist.ORACLE, "op6_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filter": urllist.ORACLE, "op6_line_dedup": linededup.ORACLE, "op12_vector_code_compression": veccodes.ORACLE}
