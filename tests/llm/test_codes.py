@@ -100,6 +100,20 @@ def test_encode_and_decode_tables(spark, library):
         bytepair.decode(coded.withColumn("ends", F.transform("ends", lambda x: x + 1)), RANKS).collect()
 
 
+def test_pieces_equal_the_library(monkeypatch):
+    """Words one by one give what the library gives for whole texts, also when words are forgotten now and then."""
+    monkeypatch.setattr(bytepair, "CACHE", 300)
+    own, whole = alignment.Pieces(B), sentencepiece.SentencePieceProcessor(model_file=B)
+    texts = mixed(6000, 21) + ["a ", "a", " a ", "  ", "\n", "x" * 3000, "ab " * 2000] + every_code_point()[:300]
+    for k in range(0, len(texts), 500):
+        part = [t for t in texts[k : k + 500] if t]
+        ids, starts, same = own(pa.array([" " + t for t in part], pa.large_string()))
+        # A text that holds the mark of a space itself never makes up its text again, whatever its ids.
+        assert all("▁" in t or ids[a:b].tolist() == x for t, a, b, x in zip(part, starts[:-1], starts[1:], whole.encode(part), strict=True))
+        pieces = [b"".join(own.bytes[i] for i in whole.encode(t)) for t in part]
+        assert same.tolist() == [p == (" " + t).encode() for p, t in zip(pieces, part, strict=True)]
+
+
 def plain_alignment(rows, plain_a):
     """Per document what the query returns, one token after another."""
     letters = bytepair.byte_letters()

@@ -43,17 +43,73 @@ from treeline.llm.common import only, slices, written
 #: Fixed value: what a piece model writes for a space.
 SPACE_MARK = "▁"
 #: Bytes of text that are aligned at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 SALTS = 16
 ADDED = ("a_ids", "a_groups", "b_ids", "b_groups", "a_linked", "b_linked")
 
 
+class Pieces:
+    """Texts to a piece model's ids, a distinct word at a time.
+
+    No piece of such a model holds a space behind another character (checked), so a merge never reaches over the
+    start of a word: a run of spaces and what follows it up to the next space is encoded by itself, once, and
+    remembered. The model puts a space before what it is given, so a word's first space is left to it. A text that
+    holds the model's mark for a space doesn't make up its text again; only its ids may differ from the model's own.
+    """
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(names)]
+        probe = ["a  b", " a", "a ", "\t", "\u00a0", "ﬁ", "½"]
+        if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in names) or any(b"".join(self.bytes[i] for i in self.model.encode(t)) != (" " + t).encode() for t in probe):
+            raise ValueError("the piece model changes texts, or its pieces reach over spaces")
+        self.space = self.model.encode("a ")[len(self.model.encode("a")) :]
+        self.widths = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts (each with a space before it, or empty) in a row, where each text's start, and whether they make up the text."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, first = bytepair.bytes_of(texts), np.cumsum(size) - size
+        space = np.frombuffer(data, np.uint8) == ord(" ")
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[first[size > 0]] = True
+        begin = np.flatnonzero(begins)
+        bounds = np.append(begin, len(space)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), data]).dictionary_encode()
+        listed = words.dictionary.to_pylist()
+        slot = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            made = [listed[k] for k in new]
+            ids = self.model.encode([w[1:].decode() for w in made], num_threads=1)
+            # The model gives nothing for a text of nothing but the space that it puts there itself.
+            ids = [self.space if w == b" " else x for x, w in zip(ids, made, strict=True)]
+            same = np.fromiter((b"".join([self.bytes[i] for i in x]) == w for x, w in zip(ids, made, strict=True)), bool, len(made))
+            slot[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(made, slot[new].tolist(), strict=True))
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(count.sum()))])
+            self.starts, self.same = np.concatenate([self.starts, self.starts[-1] + np.cumsum(count)]), np.concatenate([self.same, same])
+        slot = slot[words.indices.to_numpy()]
+        ids, at = bytepair.gathered(self.flat, self.starts[slot], self.starts[slot + 1] - self.starts[slot])
+        of_text = np.searchsorted(begin, np.append(first, len(space)))
+        wrong = np.concatenate([[0], np.cumsum(~self.same[slot])])[of_text]
+        if len(self.known) > bytepair.CACHE or len(self.flat) > 8 * bytepair.CACHE:
+            self._forget()
+        return ids, at[of_text], wrong[1:] == wrong[:-1]
+
+
 @functools.lru_cache(maxsize=2)
-def piece_model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]]:
-    """A piece model and the bytes of its pieces."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(k) for k in range(model.vocab_size())]
-    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(names)]
+def piece_model(path: str) -> Pieces:
+    """The piece model of a worker, which lives through many tasks."""
+    return Pieces(path)
 
 
 @dataclass
@@ -77,28 +133,16 @@ class Aligned:
 
 def both(texts: pa.Array, a_path: str, b_path: str) -> tuple[Side, Side]:
     """Ids of the texts; none for those whose ids don't make up a space and the text."""
-    coder = bytepair.encoder(a_path)
-    model, pieces = piece_model(b_path)
     given = pc.fill_null(texts.cast(pa.large_string()), "")
-    full = pc.not_equal(given, "").to_numpy(zero_copy_only=False)
-    spaced = pc.if_else(pa.array(full), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), given, pa.scalar("", pa.large_string())), "")
-    ids, ends, starts = coder(spaced)
+    full = pc.not_equal(given, "")
+    spaced = pc.if_else(full, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), given, pa.scalar("", pa.large_string())), "")
+    ids, ends, starts = bytepair.encoder(a_path)(spaced)
     a = Side(ids, starts, ends.astype(np.int64))
-    plain = given.to_pylist()
-    listed = [x if f else [] for x, f in zip(model.encode(plain, num_threads=1), full.tolist(), strict=True)] if plain else []
-    same = np.array([b"".join([pieces[i] for i in x]) == (b" " + t.encode() if t else b"") for x, t in zip(listed, plain, strict=True)], bool)
-    # A's ids are made from the text's own bytes, but whether they end where it ends is cheap to see.
-    size = pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
-    has = np.diff(a.starts) > 0
-    last = np.zeros(len(size), np.int64)
-    last[has] = a.ends[a.starts[1:][has] - 1]
-    same &= last == size
-    count = np.fromiter(map(len, listed), np.int64, len(listed))
-    b_ids = np.fromiter(itertools.chain.from_iterable(listed), np.int32, int(count.sum()))
-    width = np.fromiter(map(len, pieces), np.int64, len(pieces))[b_ids]
-    b_starts = np.concatenate([[0], np.cumsum(count)])
-    total = np.concatenate([[0], np.cumsum(width)])
-    b = Side(b_ids, b_starts, total[1:] - np.repeat(total[b_starts[:-1]], count))
+    # A's ids always make up their text: they are made from its bytes.
+    model = piece_model(b_path)
+    ids, starts, same = model(spaced)
+    total = np.concatenate([[0], np.cumsum(model.widths[ids])])
+    b = Side(ids, starts, total[1:] - np.repeat(total[starts[:-1]], np.diff(starts)))
     for side in () if same.all() else (a, b):
         number = np.diff(side.starts)
         keep = np.repeat(same, number)
@@ -115,7 +159,7 @@ def align_sides(a: Side, b: Side) -> Aligned:
         longest[has] = np.maximum(longest[has], side.ends[side.starts[1:][has] - 1])
     base = np.cumsum(longest + 2) - (longest + 2)
     ends = [side.ends + np.repeat(base, np.diff(side.starts)) for side in (a, b)]
-    cuts = np.intersect1d(*ends)
+    cuts = np.intersect1d(*[e[np.diff(e, prepend=-1) > 0] for e in ends], assume_unique=True)
     groups = np.searchsorted(cuts, np.concatenate([base, [np.iinfo(np.int64).max]]))
     for side, end in zip((a, b), ends, strict=True):
         side.groups = np.searchsorted(cuts, end) - np.repeat(groups[:-1], np.diff(side.starts))
@@ -129,6 +173,15 @@ def align_sides(a: Side, b: Side) -> Aligned:
     return Aligned(a, b, groups, at[groups], linked)
 
 
+@functools.lru_cache(maxsize=8)
+def decimals(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below a limit as decimal signs, with zeros before them and a place behind them, and how many each has."""
+    text = [str(k) for k in range(limit)]
+    most = len(text[-1])
+    signs = np.frombuffer("".join(f"{t:\0>{most}}\0" for t in text).encode(), np.uint8).reshape(limit, most + 1)
+    return signs, np.fromiter(map(len, text), np.int64, limit)
+
+
 def described(found: Aligned) -> list[str]:
     """The SHA-256 of each text's groups written as ``a1,a2|b1;a3|b2,b3``; empty for a text without ids."""
     a, b, texts = found.a, found.b, len(found.groups) - 1
@@ -137,21 +190,15 @@ def described(found: Aligned) -> list[str]:
     counts = [np.bincount(o, minlength=number) for o in owner]
     before = [np.cumsum(c) - c for c in counts]
     place = (np.arange(len(a.ids)) + before[1][owner[0]], np.arange(len(b.ids)) + (before[0] + counts[0])[owner[1]])
-    ids, sign = np.empty(len(a.ids) + len(b.ids), np.int64), np.full(len(a.ids) + len(b.ids), ord(","), np.uint8)
+    ids, sign = np.empty(len(a.ids) + len(b.ids), np.int32), np.full(len(a.ids) + len(b.ids), ord(","), np.uint8)
     ids[place[0]], ids[place[1]] = a.ids, b.ids
     both_ends = np.cumsum(counts[0] + counts[1])
     sign[before[1] + before[0] + counts[0] - 1] = ord("|")
     sign[both_ends - 1] = ord(";")
-    digits = len(str(int(ids.max()))) if len(ids) else 1
-    letters = np.empty((len(ids), digits + 1), np.uint8)
-    rest = ids.copy()
-    for k in reversed(range(digits)):
-        rest, letters[:, k] = rest // 10, rest % 10 + ord("0")
-    letters[:, digits] = sign
-    width = np.ones(len(ids), np.int64)
-    for k in range(1, digits):
-        width += ids >= 10**k
-    raw = memoryview(letters[np.arange(digits + 1) >= digits - width[:, None]].tobytes())
+    table, widths = decimals(1 << int(ids.max(initial=0)).bit_length())
+    letters, width = table[ids], widths[ids]
+    letters[:, -1] = sign
+    raw = memoryview(letters[letters > 0].tobytes())
     total = np.concatenate([[0], np.cumsum(width + 1)])
     # A text's ids of both sides lie together; its last sign isn't written.
     bounds = total[np.concatenate([[0], both_ends])[found.groups]].tolist()
@@ -215,7 +262,7 @@ def judged(linked: DataFrame, counts: DataFrame, a_path: str, b_path: str) -> Da
     """``linked`` with ``n_links``, ``n_best`` (links as frequent as any of their B id) and ``count_sum`` in place of the links' ids."""
     most = counts.groupBy(F.col("b").alias("of")).agg(F.max("links").alias("most"))
     table = counts.join(most, counts["b"] == most["of"]).select("a", "b", "links", (F.col("links") == F.col("most")).alias("best")).toArrow()
-    bound = len(bytepair.of_tokenizer(a_path).bytes_of[0]) + sum(map(len, piece_model(b_path)[1]))
+    bound = len(bytepair.of_tokenizer(a_path).bytes_of[0]) + int(piece_model(b_path).widths.sum())
     if table.num_rows > bound:
         raise ValueError("more pairs than the vocabularies have bytes")
     keys = table["a"].to_numpy().astype(np.int64) << 32 | table["b"].to_numpy()
