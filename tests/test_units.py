@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline import settings as S
-from treeline.operators import agreement, checks, cloud, cnn, evaluate, linear, models, scores, summaries, threshold
+from treeline.operators import agreement, checks, cloud, cnn, evaluate, linear, scores, summaries, threshold
 from treeline.plans import extract
 from treeline.sources import las, names, tables
 
@@ -176,13 +176,6 @@ def test_canonical_order_survives_shuffling(spark):
     assert [r["ID"] for r in checks.canonical(rows.repartition(4), manifest).collect()] == ["3", "2", "1", "0", "4", "5"]
 
 
-@pytest.mark.parametrize("kind", ["LR", "RF"])
-def test_models_predict_separable_classes(spark, kind):
-    rows = spark.createDataFrame([(k % 4, k % 2, float(k % 2) * 5 + k % 7 / 10 if k % 9 else None) for k in range(120)], "g int, y int, x double")
-    out = models.leave_one_group_out(rows.where("x IS NOT NULL"), ["x"], "y", "g", kind, trees=20).toPandas()
-    assert len(out) == rows.where("x IS NOT NULL").count() and (out.y == out.pred).all()
-
-
 def plain_regression(x, y, steps=200):
     """The same objective by damped Newton steps on dense matrices."""
     x = np.where(np.isfinite(x), x, np.nanmedian(x, axis=0))
@@ -414,7 +407,7 @@ def test_panels_share_edges_and_limits(spark):
     assert curve.groupby("panel").size().eq(350).all() and (lines.y_high >= 1.1 * bins.groupby("panel").n.max().loc[lines.panel].to_numpy() - 1e-9).all()
 
 
-def write_las(path, points, scale=0.01, compressed=False):
+def write_las(path, points, scale=0.01, compressed=False, bounds=False):
     head = bytearray(227)
     head[:4] = b"LASF"
     head[24], head[25] = 1, 2
@@ -422,6 +415,8 @@ def write_las(path, points, scale=0.01, compressed=False):
     head[104] = 0x80 if compressed else 0
     struct.pack_into("<HI", head, 105, 20, len(points))
     struct.pack_into("<6d", head, 131, scale, scale, scale, 10.0, 20.0, 0.0)
+    if bounds:
+        struct.pack_into("<6d", head, 179, *[f(p[k] for p in points) for k in range(3) for f in (max, min)])
     body = b"".join(struct.pack("<iii8x", *(round(v) for v in ((x - 10) / scale, (y - 20) / scale, z / scale))) for x, y, z in points)
     path.write_bytes(bytes(head) + body)
 

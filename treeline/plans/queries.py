@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import settings as S
-from treeline.operators import agreement, checks, cloud, evaluate, scores, summaries, threshold
+from treeline.operators import agreement, checks, cloud, evaluate, scores, selection, summaries, threshold
 from treeline.plans import standins
 from treeline.plans.standins import table
 from treeline.sources import las
+from treeline.storage import written
 
 DIGITS = 6
 
@@ -145,7 +146,7 @@ def sensor_bias_shift(spark, sf_dir):
     p = _paired(spark, sf_dir)
     fields = [r[0] for r in p.select("field").distinct().orderBy("field").collect()]  # a few
     laid = p.withColumn("held", F.explode(F.array(*map(F.lit, fields))))
-    shift = laid.where("field <> held").groupBy("held").agg(F.median(F.col("x_h300") - F.col("x_l1")).alias("shift"))
+    shift = selection.medians(laid.where("field <> held"), ["held"], {"shift": F.col("x_h300") - F.col("x_l1")})
     return rounded(p.join(F.broadcast(shift), F.col("field") == F.col("held")).select("tree", "held", "shift", (F.col("x_h300") - F.col("shift")).alias("shifted")))
 
 
@@ -207,6 +208,13 @@ def stratified_folds(spark, sf_dir):
     return f.groupBy("repeat", "label", "fold").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
+def group_folds(spark, sf_dir):
+    """Orders in folds by customer: all of a customer's rows lie in one fold, classes are spread evenly."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    f = checks.group_folds(o, "customer", "label")
+    return f.groupBy("repeat", "fold").agg(F.count("*").alias("customers"), F.sum("customer").alias("key_sum"))
+
+
 def cv_summary(spark, sf_dir):
     """Mean over repeats of the accuracy of a vote by training rows of each fold: the most frequent class of the others."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"), (F.floor(F.col("o_totalprice") / 20000) % 7).cast("int").alias("g"))
@@ -267,8 +275,9 @@ RATERS = ["r1", "r2", "r3", "r4"]
 
 def rating_summary(spark, sf_dir):
     r = _ratings(spark, sf_dir)
-    per = agreement.rating_rows(r, RATERS).agg(F.avg((F.col("range") == 0).cast("double")).alias("all_equal"), F.avg((F.col("range") <= 1).cast("double")).alias("range_le1"), F.median("range").alias("median_range"), F.avg("sd").alias("mean_sd"))
-    return rounded(agreement.icc(r, RATERS).join(F.broadcast(per), F.lit(True)))
+    per = agreement.rating_rows(r, RATERS).agg(F.avg((F.col("range") == 0).cast("double")).alias("all_equal"), F.avg((F.col("range") <= 1).cast("double")).alias("range_le1"), F.avg("sd").alias("mean_sd"))
+    middle = selection.medians(agreement.rating_rows(r, RATERS), [], {"median_range": F.col("range")})
+    return rounded(agreement.icc(r, RATERS).join(F.broadcast(per.join(F.broadcast(middle), F.lit(True))), F.lit(True)))
 
 
 def rating_distribution(spark, sf_dir):
@@ -318,20 +327,13 @@ def controls_union(spark, sf_dir):
     return rounded(fresh.unionByName(archived, allowMissingColumns=True))
 
 
-def _fixed(rows: DataFrame) -> DataFrame:
-    """A feature table, one row a tree and as it is from now on: the models read it once a step.
-
-    It is made once and kept as local rows, like the table that an extraction leaves (some thousand trees at the reference's size).
-    """
-    return rows.sparkSession.createDataFrame(rows.toArrow())
-
-
 def _trees(spark, sf_dir, by=("tree",)):
     """The stand-in clouds' feature table. Half a supplier's points are too few for the cells; the share of all points stands for those features then."""
     rows = cloud.features(standins.cloud(spark, sf_dir), list(by))
     if len(by) > 1:
         rows = rows.withColumns({c: F.coalesce(c, "GlobalPF50") for c in ("CorePF50", "PGF50", "CPC90")})
-    return _fixed(rows.select(F.col("tree").alias("key"), (F.col("tree") % 4 + 1).cast("int").alias("field"), (F.col("tree") % 5).cast("int").alias("class"), *[c for c in rows.columns if c != "tree"]))
+    # The models read the table once a step, so it is written once.
+    return written(rows.select(F.col("tree").alias("key"), (F.col("tree") % 4 + 1).cast("int").alias("field"), (F.col("tree") % 5).cast("int").alias("class"), *[c for c in rows.columns if c != "tree"]))
 
 
 def _named(out: DataFrame, *columns: str) -> DataFrame:
@@ -346,10 +348,6 @@ def rf_lofo(spark, sf_dir):
     return _named(evaluate.leave_one_field_out(_trees(spark, sf_dir), ["MidpointCompact_RF"], ["five_class"]))
 
 
-#: The methods whose fits are made all together; a forest is one distributed fit for each fold.
-TOGETHER = [m for m, (kind, _) in S.METHODS.items() if kind != "RF"]
-
-
 def methods_lofo(spark, sf_dir):
     """Every method and scheme, field by field."""
     return _named(evaluate.leave_one_field_out(_trees(spark, sf_dir)), "scheme", "method")
@@ -364,15 +362,20 @@ def method_thresholds(spark, sf_dir):
 def methods_summary(spark, sf_dir):
     """Field and repeated-fold results of both schemes side by side, with the gap between them."""
     rows, by = _trees(spark, sf_dir), ["scheme", "method"]
-    lofo = evaluate.summary(evaluate.leave_one_field_out(rows, TOGETHER), by)
-    cv = evaluate.repeat_means(evaluate.repeated_folds(rows, TOGETHER), by)
+    lofo = evaluate.summary(evaluate.leave_one_field_out(rows), by)
+    cv = evaluate.repeat_means(evaluate.repeated_folds(rows), by)
     return rounded(evaluate.with_gap(lofo, cv, by))
 
 
 def altitude_audit(spark, sf_dir):
-    """Each source as an altitude."""
-    rows = _trees(spark, sf_dir, ("tree", "source")).withColumn("altitude", F.when(F.col("source") == "L1", 60).otherwise(120))
-    return rounded(evaluate.altitudes(rows.drop("source")))
+    """A tree's points dealt to six altitudes, all in one grid of fits."""
+    return rounded(evaluate.altitudes(_trees(spark, sf_dir, ("tree", "altitude"))))
+
+
+def bootstrap_methods(spark, sf_dir):
+    """The study's three pairs of methods, by their own predictions of held fields in both schemes."""
+    rows = _trees(spark, sf_dir)
+    return rounded(evaluate.paired_bootstrap(written(evaluate.leave_one_field_out(rows, sorted({m for pair in S.PAIRS for m in pair})))))
 
 
 def _sensor_rows(spark, sf_dir):
@@ -433,7 +436,7 @@ QUERIES = {
     "validate_flags": validate_flags, "duplicate_obs": duplicate_obs, "label_conflicts": label_conflicts, "coverage_gaps": coverage_gaps, "canonical_order_rank": canonical_order_rank,
     "label_merge": label_merge, "sensor_pairs": sensor_pairs, "sensor_agreement": sensor_agreement, "sensor_bias_shift": sensor_bias_shift,
     "confusion": confusion, "metrics_basic": _scored(scores.basic), "balanced_f1": _scored(scores.balanced), "qwk": _scored(scores.kappa), "metric_block": metric_block, "qwk_rank_weights": qwk_rank_weights,
-    "field_summary": field_summary, "paired_methods": paired_methods, "bootstrap_native": bootstrap_native, "stratified_folds": stratified_folds, "cv_summary": cv_summary, "cv_gap": cv_gap, "balanced_weights": balanced_weights,
+    "field_summary": field_summary, "paired_methods": paired_methods, "bootstrap_native": bootstrap_native, "stratified_folds": stratified_folds, "group_folds": group_folds, "cv_summary": cv_summary, "cv_gap": cv_gap, "balanced_weights": balanced_weights,
     "threshold_fit": threshold_fit, "threshold_lofo": threshold_lofo, "threshold_lofo_merge01": threshold_lofo_merge01, "threshold_altitude": threshold_altitude,
     "rating_summary": rating_summary, "rating_distribution": rating_distribution, "rating_pairs": rating_pairs,
     "rank_corr_by_group": rank_corr_by_group, "fisher_ci": fisher_ci, "random_effects": random_effects, "level_distribution": level_distribution,
@@ -441,5 +444,5 @@ QUERIES = {
     "height_panel_lines": _panels(0), "height_panel_bins": _panels(1), "height_panel_curves": _panels(2), "density_report": density_report, "density_summary": density_summary,
     "profile_fingerprint": profile_fingerprint, "rank_corr_p": rank_corr_p, "rating_pair_means": rating_pair_means,
     "lr_lofo": lr_lofo, "rf_lofo": rf_lofo, "pooled_sensor_lr": pooled_sensor_lr, "methods_lofo": methods_lofo, "method_thresholds": method_thresholds, "methods_summary": methods_summary,
-    "altitude_audit": altitude_audit, "sensor_transfer": sensor_transfer, "bootstrap_pairs": bootstrap_pairs, "profile_lr": _profile("LR"), "profile_cnn": _profile("CNN"),
+    "altitude_audit": altitude_audit, "sensor_transfer": sensor_transfer, "bootstrap_pairs": bootstrap_pairs, "bootstrap_methods": bootstrap_methods, "profile_lr": _profile("LR"), "profile_rf": _profile("RF"), "profile_cnn": _profile("CNN"),
 }

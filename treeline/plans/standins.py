@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.settings import ALTITUDES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tree, x, y, z``: line items of a supplier as points of a tree."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tree"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"), F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("double").alias("z"), F.when(F.col("l_returnflag") == "R", "H300").otherwise("L1").alias("source"))
+    """``tree, x, y, z, source, altitude``: line items of a supplier as points of a tree, dealt to sensors and altitudes."""
+    altitude = F.get(F.array(*map(F.lit, ALTITUDES)), F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(ALTITUDES))).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tree"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"), F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("double").alias("z"), F.when(F.col("l_returnflag") == "R", "H300").otherwise("L1").alias("source"), altitude.alias("altitude"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
