@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm import chosenpath, decontam, linededup, packing, quality
@@ -10,15 +12,22 @@ from treeline.llm.common import unused, written
 from treeline.llm.queries import tokenizer_path
 
 
+def carried(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a step makes of ``docs``, with their columns; those of names that the step gives to its own columns are put by."""
+    away = {c: unused(docs, f"_{c}") for c in docs.columns if c.lower() in names}
+    out = step(docs.withColumnsRenamed(away))
+    return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; rows with a null id or without words are scored like any other."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("quality_predicted") == 1).drop("quality_score", "quality_predicted")
+    return carried(docs, ("quality_score", "quality_predicted"), lambda rows: quality.score(rows, model).where(F.col("quality_predicted") == 1))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; every row stays with the text that is left, rows with a null id or text too."""
-    left = linededup.dedup(docs)
+    left = carried(docs, ("lines", "removed_lines"), linededup.dedup)
     return left.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -26,18 +35,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each class of equal or similar texts one row stays: that with the least doc_id (null ids last), then the least MD5 of its text.
 
     Rows are told apart by id and text, so a row goes only for its own text,
-    whatever other rows have its id. Rows that share both are one document.
-    A text without words is similar to no other and goes for no other row's sake.
+    whatever other rows have its id. Of rows that share both, the one whose
+    other columns come first (written as JSON) stays. A text without words is
+    similar to no other and goes for no other row's sake.
     """
-    key = unused(docs, "_key")
+    key, gone_id, gone_key, place = (unused(docs, c) for c in ("_key", "_gone", "_text", "_place"))
     rows = docs.withColumn(key, F.md5("text"))
     classes = written(chosenpath.join(docs))
-    gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_text")).distinct()
-    left = rows.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_text")) & rows["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    # Few inputs hold the same row twice; only then the rows are brought together once more.
-    twice = classes.where("kept").groupBy("doc_id", "key").count().where("count > 1")
+    own = lambda where: classes.where(where).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(f"`{gone_key}`")) & F.col("doc_id").eqNullSafe(F.col(f"`{gone_id}`"))
+    left = rows.join(own("NOT kept").distinct(), same, "left_anti")
+    # Few inputs hold the same row twice; only then its rows, not the others, are brought together.
+    twice = own("kept").groupBy(gone_id, gone_key).count().where("count > 1").drop("count")
     if not twice.isEmpty():
-        left = left.dropDuplicates(["doc_id", key])
+        order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+        first = Window.partitionBy("doc_id", F.col(f"`{key}`")).orderBy(order)
+        repeated = left.join(twice, same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(f"`{place}`") == 1).drop(place)
+        left = left.join(twice, same, "left_anti").unionByName(repeated)
     return left.drop(key)
 
 
