@@ -1,9 +1,9 @@
 """Secret scan: candidates in whole texts, a random forest against false positives.
 
 Candidates are runs of ``LEAST`` or more letters, digits and ``+/=_-``, and
-from ``SHORTEST`` characters of any kind on, up to ``LONGEST``, the value that
-follows a word such as ``password`` and ``=`` or ``:``, and the password of an
-address. Each has features of its length, its character transitions, the part
+from ``SHORTEST`` characters of any kind on, however many, the value that
+follows a word such as ``password`` and ``=`` or ``:`` (up to the closing quote
+of its line, or to white space), and the password of an address. Each has features of its length, its character transitions, the part
 that dictionary words cover, the path it stands in and the words beside it. A
 random forest learned from labelled findings gives the probability that a
 candidate is a secret. ``labelled_findings`` makes a labelled set by rule;
@@ -43,11 +43,11 @@ LEAST = 16
 TREES = 40
 DEPTH = 8
 THRESHOLD = 0.5
-SHORTEST, LONGEST = 6, 128
+SHORTEST = 6
 #: Words of the dictionary, their least and greatest length, and the documents that have to write them.
 WORDS, WORD_LENGTHS, LEAST_DOCS = 20_000, (4, 16), 3
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/=_-]{{{LEAST},}}")
-_VALUE = f"{{{SHORTEST},{LONGEST}}}"
+_VALUE = f"{{{SHORTEST},}}"
 KEYED = re.compile(rf"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credentials?)["']?\s{{0,8}}[:=]>?\s{{0,8}}(?:"([^"\n]{_VALUE})"|'([^'\n]{_VALUE})'|([^\s"'<>]{_VALUE}))""")
 ADDRESS = re.compile(rf"://[^\s/:@]{{1,64}}:([^\s/@]{_VALUE})@")
 BESIDE = 48
