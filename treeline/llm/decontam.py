@@ -5,7 +5,11 @@ edit distance of ``floor((1 - SIMILARITY) * words)`` of the item's words.
 
 1. Windows of the item's size: two such stretches share a run of q words (q
    from the pigeonhole principle, 3 at most), so windows are laid where a run
-   of an item occurs, and any other window can't be within the distance.
+   of an item occurs, and any other window can't be within the distance. Cut
+   into one part more than edits, an item has a part that is untouched: runs
+   that more than ``COMMON`` items share are looked for only where a part of
+   the item has no rarer one. A text has to hold all but as many of an item's
+   words as there may be edits, or no window is laid for it.
 2. CGK embedding: a random walk reads a window word by word, at each step
    staying or moving on by a random bit of the step and the word. Small edit
    distances become small Hamming distances.
@@ -21,8 +25,9 @@ tasks, about ``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` of text at a time; a
 larger one takes more passes over the documents. Documents are read whole and
 never move.
 
-Defined cases: null or empty texts match nothing; items that are null or
-without words are left out; equal items each report; the same item twice in a
+Defined cases: null or empty texts match nothing; items whose text is null or
+without words are left out; an item without an id is an item like others and
+reports null; equal items each report; the same item twice in a
 document is one row with its best place (least distance, then first). Every
 row of the documents is judged by itself, so repeated rows, repeated ids and
 null ids each report or stay on their own. No documents or no items give no
@@ -54,6 +59,8 @@ PAIRS, MOST_ROUNDS, MOST_WORDS = 400, 150, 800
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 PAD = np.uint64(0xA5A5A5A5)
 BITS = 20
+#: Items that share a run which is then common, and the windows or pairs of a text and an item that are held at once.
+COMMON, AT_ONCE = 8, 1 << 20
 
 
 def repetitions(recall: float = TARGET_RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
@@ -79,13 +86,34 @@ def grams(hashes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Items:
-    ids: np.ndarray
+    ids: pa.Array
     words: list[np.ndarray]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by q: sorted grams, item, offset, bitmap
     of_length: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]  # by words: items, their words, their walks in each round
 
 
-def prepare(ids: list[int], texts: list[str | None]) -> Items:
+def rare_runs(sizes: np.ndarray, item: np.ndarray, offset: np.ndarray, times: np.ndarray, q: int) -> np.ndarray:
+    """Which runs to look for: those of few items, and the rarest of a part of its item that has none of those.
+
+    Runs are in the order of their items and offsets; ``times`` says how many runs of the table are equal.
+    """
+    parts = np.array([edit_bound(int(n)) + 1 for n in sizes])[item]
+    # Parts of an item are about equal: part p has the words from p * words // parts on.
+    words = sizes[item]
+    part = ((offset + 1) * parts - 1) // words
+    inside = (offset + q) * parts - 1 < (part + 1) * words
+    keep = times <= COMMON
+    number = np.cumsum(parts.max(initial=1) * np.ones(len(sizes), np.int64)) - parts.max(initial=1)
+    group = number[item] + part
+    order = np.lexsort((times, group))
+    order = order[inside[order]]
+    lead = np.ones(len(order), bool)
+    lead[1:] = group[order][1:] != group[order][:-1]
+    keep[order[lead]] = True
+    return keep
+
+
+def prepare(ids: list[int | None], texts: list[str | None]) -> Items:
     kept = [(i, t.lower().split()) for i, t in zip(ids, texts, strict=True) if t and t.split()]
     words = [word_hashes(w) for _, w in kept]
     found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -96,6 +124,9 @@ def prepare(ids: list[int], texts: list[str | None]) -> Items:
     tables = {}
     for q, parts in found.items():
         g, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, place, times = np.unique(g, return_inverse=True, return_counts=True)
+        keep = rare_runs(np.array([len(w) for w in words], np.int64), item, offset, times[place], q)
+        g, item, offset = g[keep], item[keep], offset[keep]
         order = np.argsort(g, kind="stable")
         bitmap = np.zeros(1 << BITS, bool)
         bitmap[(g >> np.uint64(64 - BITS)).astype(np.int64)] = True
@@ -107,12 +138,29 @@ def prepare(ids: list[int], texts: list[str | None]) -> Items:
         rows = np.stack([words[i] for i in own])
         number = rounds(length)
         of_length[length] = own, rows, None if number is None else [walks(rows, seed) for seed in range(number)]
-    return Items(np.array([i for i, _ in kept], np.int64), words, tables, of_length)
+    return Items(pa.array([i for i, _ in kept], pa.int64()), words, tables, of_length)
 
 
-def windows(items: Items, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, first word) of every window that shares a run with its item at the right place."""
-    out = []
+def stretches(number: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive stretches whose numbers add up to about ``most``; one larger number is a stretch by itself."""
+    part = (np.cumsum(number) - number) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(number)], strict=True):
+        yield slice(a, b)
+
+
+def expanded(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of consecutive numbers: the run of each, and the number."""
+    run = np.repeat(np.arange(len(number)), number)
+    return run, np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
+
+
+def windows(items: Items, distinct: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, item, first word) of every window that shares a run with its item at the right place, a bounded number at a time."""
+    hashes = distinct[codes]
+    sizes = np.array([len(w) for w in items.words], np.int64)
+    known = np.argsort(distinct, kind="stable")
+    present = np.zeros(0, np.int64)
     for q, (table, item, offset, bitmap) in items.tables.items():
         g = grams(hashes, q)
         at = np.flatnonzero(bitmap[(g >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -122,12 +170,47 @@ def windows(items: Items, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.nd
         doc = np.searchsorted(starts, at, "right") - 1
         inside = at + q <= starts[doc + 1]
         at, low, number, doc = at[inside], low[inside], number[inside], doc[inside]
-        entry = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
-        out.append(np.column_stack([np.repeat(doc, number), item[entry], np.repeat(at, number) - offset[entry]]))
-    if not out or not sum(map(len, out)):
-        return (np.zeros(0, np.int64),) * 3
-    every = np.unique(np.concatenate(out), axis=0)
-    return every[:, 0], every[:, 1], every[:, 2]
+        if not len(at):
+            continue
+        if not len(present):
+            word_doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            present = np.unique(word_doc * len(distinct) + codes)
+        # Each run of a document once, with the places where it occurs.
+        order = np.lexsort((low, doc))
+        at, low, number, doc = at[order], low[order], number[order], doc[order]
+        lead = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])]))
+        times = np.diff(np.append(lead, len(at)))
+        found = []
+        for part in stretches(number[lead], AT_ONCE):
+            run, entry = expanded(low[lead[part]], number[lead[part]])
+            run += part.start
+            pair, back = np.unique(doc[lead[run]] * len(items.words) + item[entry], return_inverse=True)
+            ok = enough(items, sizes, pair // len(items.words), pair % len(items.words), distinct, known, present)[back]
+            found.append(np.column_stack([run[ok], entry[ok]]))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort((item[pairs[:, 1]], doc[lead[pairs[:, 0]]]))]
+        for part in stretches(times[pairs[:, 0]], AT_ONCE):
+            run, entry = pairs[part].T
+            which, place = expanded(lead[run], times[run])
+            every = np.unique(np.column_stack([doc[place], item[entry[which]], at[place] - offset[entry[which]]]), axis=0)
+            yield every[:, 0], every[:, 1], every[:, 2]
+
+
+def enough(items: Items, sizes: np.ndarray, doc: np.ndarray, item: np.ndarray, distinct: np.ndarray, known: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Whether each document holds all but as many of the item's words as there may be edits."""
+    out = np.zeros(len(doc), bool)
+    for length in np.unique(sizes[item]).tolist():
+        own, rows, _ = items.of_length[length]
+        where = np.flatnonzero(sizes[item] == length)
+        for part in np.array_split(where, 1 + len(where) * length // AT_ONCE):
+            words = rows[np.searchsorted(own, item[part])]
+            at = np.minimum(np.searchsorted(distinct, words, sorter=known), len(distinct) - 1)
+            code = known[at]
+            key = doc[part, None] * len(distinct) + code
+            place = np.minimum(np.searchsorted(present, key), len(present) - 1)
+            held = (distinct[code] == words) & (present[place] == key)
+            out[part] = held.sum(1) >= length - edit_bound(length)
+    return out
 
 
 def gathered(hashes: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
@@ -219,29 +302,29 @@ def edit_distances(item: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def matches(items: Items, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, distance, first word in it) of every contaminated pair."""
     codes, starts, distinct = coded_words([t.lower() if t else t for t in texts])
-    hashes = word_hashes(distinct)[codes]
-    doc, item, first = windows(items, hashes, starts)
-    lengths = np.array([len(w) for w in items.words], np.int64)[item] if len(item) else np.zeros(0, np.int64)
-    out = []
-    for length in np.unique(lengths):
-        part = np.flatnonzero(lengths == length)
-        bound = edit_bound(int(length))
-        own, model, model_walks = items.of_length[int(length)]
-        step = max(1, min(20_000, 4_000_000 // int(length)))
-        for a in range(0, len(part), step):
-            p = part[a : a + step]
-            place = np.searchsorted(own, item[p])
-            rows = gathered(hashes, first[p], starts[doc[p]], starts[doc[p] + 1], int(length))
-            near = np.full(len(p), model_walks is None)
-            for seed, walk in enumerate(model_walks or []):
-                far = np.flatnonzero(~near)
-                near[far] = (walks(rows[far], seed) == walk[place[far]]).all(1)
-            p, place = p[near], place[near]
-            if len(p):
-                region = gathered(hashes, first[p] - bound, starts[doc[p]], starts[doc[p] + 1], int(length) + 2 * bound)
-                distance = edit_distances(model[place], region)
-                hit = distance <= bound
-                out.append(np.column_stack([doc[p], item[p], distance, np.maximum(0, first[p] - starts[doc[p]])])[hit])
+    distinct = word_hashes(distinct)
+    hashes, sizes, out = distinct[codes], np.array([len(w) for w in items.words], np.int64), []
+    for doc, item, first in windows(items, distinct, codes, starts):
+        lengths = sizes[item]
+        for length in np.unique(lengths):
+            part = np.flatnonzero(lengths == length)
+            bound = edit_bound(int(length))
+            own, model, model_walks = items.of_length[int(length)]
+            step = max(1, min(20_000, 4_000_000 // int(length)))
+            for a in range(0, len(part), step):
+                p = part[a : a + step]
+                place = np.searchsorted(own, item[p])
+                rows = gathered(hashes, first[p], starts[doc[p]], starts[doc[p] + 1], int(length))
+                near = np.full(len(p), model_walks is None)
+                for seed, walk in enumerate(model_walks or []):
+                    far = np.flatnonzero(~near)
+                    near[far] = (walks(rows[far], seed) == walk[place[far]]).all(1)
+                p, place = p[near], place[near]
+                if len(p):
+                    region = gathered(hashes, first[p] - bound, starts[doc[p]], starts[doc[p] + 1], int(length) + 2 * bound)
+                    distance = edit_distances(model[place], region)
+                    hit = distance <= bound
+                    out.append(np.column_stack([doc[p], item[p], distance, np.maximum(0, first[p] - starts[doc[p]])])[hit])
     if not out or not sum(map(len, out)):
         return (np.zeros(0, np.int64),) * 4
     every = np.concatenate(out)
@@ -253,7 +336,7 @@ def matches(items: Items, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items of a benchmark, in blocks of bounded size."""
-    known = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    known = only(benchmark, "item_id", "text").where("text IS NOT NULL")
     count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
@@ -270,7 +353,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def found(batches, items=items, sizes=sizes):
             for part in slices(batches):
                 doc, item, distance, first = matches(items, part["text"].to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(pa.array(doc, pa.int64())), "item_id": pa.array(items.ids[item]) if len(item) else pa.array([], pa.int64()), "distance": pa.array(distance, pa.int64()), "item_words": pa.array(sizes[item] if len(item) else [], pa.int64()), "first_word": pa.array(first, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(pa.array(doc, pa.int64())), "item_id": items.ids.take(pa.array(item, pa.int64())), "distance": pa.array(distance, pa.int64()), "item_words": pa.array(sizes[item] if len(item) else [], pa.int64()), "first_word": pa.array(first, pa.int64())})
 
         part = only(docs, "doc_id", "text").mapInArrow(found, "doc_id long, item_id long, distance long, item_words long, first_word long")
         out = part if out is None else out.unionByName(part)
