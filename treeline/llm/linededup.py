@@ -12,20 +12,22 @@ So a passage is found from its first line on and up to its last one, although
 the chunks at its edges hold lines around it too. A run has several lines; one
 that would have a single line takes in the whole chunk beside it, and only
 paragraphs are runs alone. Lines of runs that occur more than once in the
-corpus are removed, except in the run that comes first (least doc_id, then
-first place in it).
+corpus are removed, except in the run that comes first (least doc_id, null
+ones last, then the text's hash, then first place in it).
 
 Lines travel as hashes and are grouped as lists of them; a text moves once, to
 meet the numbers of the lines that it may lose. Then bytes are compared: every
 line of a repeated run is grouped beside its hash, and a text with a hash that
 stands for two different lines loses nothing. Texts are read once for their
 hashes and once for what is left; no step grows faster than a text's lines.
+Rows of one run meet in one key of a join; where a run is in very many texts,
+adaptive execution splits that key (no row of it is grouped or sorted whole).
 
 Defined cases: a null text stays null; an empty text has one empty line and
 stays empty; runs of empty lines alone are no runs; rows that share doc_id and
 text are one document to the removal (all lose the same lines); rows that
-share a doc_id, or have none, with different texts keep their own first
-occurrence; runs that overlap an earlier copy of themselves in a text lose the
+share a doc_id, or have none, with different texts are documents of their own;
+runs that overlap an earlier copy of themselves in a text lose the
 lines that go beyond it; ties can't be, as a place is unique; a text that
 loses every line becomes empty, its row stays; an empty table gives no rows.
 Other columns are carried through, but for ``lines`` and ``removed_lines``,
@@ -96,8 +98,9 @@ def runs(lines: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, again, removed``: the lines of each text that are in repeated runs, and those of them that it loses."""
     every = runs(hashed_lines(docs)).withColumn("own", F.row_number().over(Window.partitionBy(*TEXT, "run").orderBy("a")))
-    twice = every.groupBy("run").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc")).where("times > 1").drop("times")
-    lost = (F.col("own") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc_id"), "text_key")
+    twice = every.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
+    lost = (F.col("own") > 1) | (place != F.col("first"))
     laid = every.join(twice, "run").select(*TEXT, F.explode(F.sequence("a", "b")).alias("i"), lost.cast("int").alias("lost"))
     lines = laid.groupBy(*TEXT, "i").agg(F.max("lost").alias("lost"))
     return lines.groupBy(*TEXT).agg(F.sort_array(F.collect_list("i")).alias("again"), F.sort_array(F.collect_list(F.when(F.col("lost") == 1, F.col("i")))).alias("removed"))
@@ -161,13 +164,13 @@ WITH d AS (
 ), u AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, key, run ORDER BY a) AS own FROM r WHERE len(list_filter(run, lambda t: t <> '')) > 0
 ), t AS (
-  SELECT run, min(doc_id) AS first_doc FROM u GROUP BY run HAVING count(*) > 1
+  SELECT run, min((doc_id IS NULL, coalesce(doc_id, 0), key)) AS first FROM u GROUP BY run HAVING count(*) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, key, unnest(range(a, b + 1)) AS i FROM u JOIN t USING (run) WHERE own > 1 OR doc_id <> first_doc
+  SELECT DISTINCT doc_id, key, unnest(range(a, b + 1)) AS i FROM u JOIN t USING (run) WHERE own > 1 OR (doc_id IS NULL, coalesce(doc_id, 0), key) <> first
 ), o AS (
   SELECT l.doc_id, l.key, count(*) AS lines, coalesce(string_agg(gone.i::VARCHAR, ',' ORDER BY l.i), '') AS removed, md5(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i), '')) AS kept_md5
-  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.key = l.key AND gone.i = l.i GROUP BY l.doc_id, l.key
+  FROM l LEFT JOIN gone ON gone.doc_id IS NOT DISTINCT FROM l.doc_id AND gone.key = l.key AND gone.i = l.i GROUP BY l.doc_id, l.key
 )
 SELECT documents.doc_id, coalesce(o.lines, 0)::BIGINT AS lines, coalesce(o.removed, '') AS removed, o.kept_md5
-FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id AND o.key = md5(documents.text)
+FROM documents LEFT JOIN o ON o.doc_id IS NOT DISTINCT FROM documents.doc_id AND o.key = md5(documents.text)
 """
