@@ -43,7 +43,7 @@ from treeline.llm.common import only, slices, written
 #: Fixed value: what a piece model writes for a space.
 SPACE_MARK = "▁"
 #: Bytes of text that are aligned at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SALTS = 16
 ADDED = ("a_ids", "a_groups", "b_ids", "b_groups", "a_linked", "b_linked")
 

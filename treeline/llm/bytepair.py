@@ -61,7 +61,7 @@ SYMBOLS = 8
 #: Blocks that the scan runs side by side have this many symbols.
 BLOCK = 64
 #: Words that a worker remembers, and the bytes up to which words are merged side by side.
-CACHE, WIDTHS = 1 << 18, (8, 16, 32, 64)
+CACHE, WIDTHS = 1 << 17, (8, 16, 32, 64)
 NONE = np.int32(2**31 - 1)
 
 
