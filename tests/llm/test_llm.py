@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +139,10 @@ def test_line_dedup_of_repeated_rows_and_ids(spark):
     out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["text"] is None, r["text"] or "") for r in out.collect()) == sorted([(False, passage), (False, passage), (False, ""), (False, "x"), (False, "own line"), (True, "")])
     assert linededup.dedup(out.limit(0)).count() == 0
+    # Without ids, or with one id for all, a passage stays in one text, whichever comes first by its hash.
+    for doc_id in (None, 3):
+        left = linededup.dedup(spark.createDataFrame([(doc_id, f"own {k}\n{passage}\nlast {k}") for k in range(5)], "doc_id long, text string")).collect()
+        assert sorted(len(r["removed_lines"]) for r in left) == [0, 2, 2, 2, 2]
 
 
 def test_line_dedup_is_native(spark, odd):
@@ -218,6 +223,52 @@ def test_decontamination_against_brute_force(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_common_runs(spark):
+    """Runs that many items share, repeated in a text, cost little and hide nothing."""
+    shared = words(3, 1)
+    items = [words(6, 100 + k) + shared + words(6, 90_000 + k) for k in range(1500)]
+    text = " ".join(" ".join(shared + words(1, 5)) for _ in range(3000))
+    found = decontam.prepare(list(range(1500)), [" ".join(w) for w in items])
+    began = time.perf_counter()
+    assert len(decontam.matches(found, [text])[0]) == 0 and time.perf_counter() - began < 5
+    hidden = [" ".join([*words(9, 7 + k), *items[k], *words(4, 8 + k)]) for k in range(0, 1500, 50)]
+    doc, item, distance, first = decontam.matches(found, [text + " " + hidden[0], *hidden, *hidden])
+    assert sorted(zip(doc.tolist(), item.tolist(), strict=True)) == [(0, 0)] + [(1 + k, 50 * (k % 30)) for k in range(60)] and not distance.any()
+    # Items of the shared words alone: each part of them is common, and is found all the same.
+    alike = decontam.prepare(list(range(40)), [" ".join(shared * 4)] * 40)
+    assert len(decontam.matches(alike, [" ".join([*words(5, 3), *shared * 4])])[0]) == 40
+
+
+def test_windows_lose_no_match(monkeypatch):
+    """With every window verified, what is found equals brute force, also where all runs are common."""
+    monkeypatch.setattr(decontam, "rounds", lambda length: None)
+    monkeypatch.setattr(decontam, "COMMON", 1)
+    rng = random.Random(12)
+    few = words(12, 77)
+    items = [[rng.choice(few) for _ in range(rng.randrange(1, 25))] for _ in range(60)]
+    texts = []
+    for k in range(60):
+        w = list(items[k])
+        for _ in range(rng.randrange(1 + decontam.edit_bound(len(w)))):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = words(rng.randrange(2), 300 + k)
+        texts.append(" ".join(words(5, k) + w + words(5, 900 + k)))
+    found = decontam.prepare(list(range(60)), [" ".join(w) for w in items])
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(decontam, "AT_ONCE", at_once)
+        doc, item, distance, _ = decontam.matches(found, texts)
+        want = {(d, i): x for d, t in enumerate(texts) for i, w in enumerate(items) if (x := edit_distance_inside(w, t.split())) <= decontam.edit_bound(len(w))}
+        assert {(d, i): x for d, i, x in zip(doc.tolist(), item.tolist(), distance.tolist(), strict=True)} == want
+
+
+def test_items_without_an_id_count(spark):
+    item = " ".join(words(20, 4))
+    docs = docs_of(spark, [f"a {item} b", "clean words here"])
+    bench = spark.createDataFrame([(None, item), (None, None), (5, " ")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, bench).select("doc_id", "item_id", "distance").collect()] == [(0, None, 0)]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [1]
+
+
 @pytest.mark.parametrize("mixed", [False, True])
 def test_decontamination_of_long_items_at_the_bound(spark, mixed):
     rng = random.Random(31)
@@ -456,6 +507,13 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(twice, model, known).where("is_secret = 1").count() == 4
 
 
+@pytest.mark.parametrize("size", [100, 140, 5000])
+def test_secrets_of_any_length_are_candidates(size):
+    value = ("Xk9#qT2!mZ7$" * 1000)[:size]
+    for text, at in ((f'password = "{value}" x', 12), (f"token: {value} x", 7), (f"see https://u:{value}@host.org", 14), (f"pwd='{value}'", 5)):
+        assert (at, at + size) in [s[:2] for s in secrets.spans(text)]
+
+
 def test_url_list(spark):
     from datetime import date
 
@@ -542,6 +600,51 @@ def test_chroma_finds_short_recordings(spark):
     assert len(rows) == len(found) and all(found.get((2 * k, 2 * k + 1)) == -(3 + k) for k in range(60))
 
 
+STAGE_CLASHES = ("_text", "_gone", "_key", "_place", "text_key", "class_id", "kept", "tokens", "h", "quality_score", "removed_lines", "sequence_id", "group")
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Rows with nulls, repeats, ties and names that clash with those of the stages."""
+    long = [" ".join(words(70, 900 + k)) for k in range(4)]
+    texts = [(1, long[0], "en"), (1, long[0], "de"), (1, long[0], "en"), (2, long[0], "en"), (None, long[1], None), (None, long[1], None), (3, long[2], "fr"), (3, long[3], "fr"), (4, None, None), (5, "", "en"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, "s", 7) for r in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("own") for c in STAGE_CLASHES})
+
+
+def test_near_duplicate_stage(spark, crowded):
+    import corpus_pipeline
+
+    out = corpus_pipeline.near_duplicate_stage(spark, crowded, "")
+    assert out.columns == crowded.columns
+    left = sorted(((r["doc_id"], r["text"], r["lang"]) for r in out.collect()), key=repr)
+    long = [r["text"] for r in crowded.where("text <> ''").orderBy("doc_id").collect()]
+    # Of the rows 1 with one text the German one comes first; row 2 has the same text and goes.
+    assert [x for x in left if x[1] == long[-1] or x[0] == 3] and len([x for x in left if x[0] == 1]) == 1 and [x[2] for x in left if x[0] == 1] == ["de"]
+    assert not [x for x in left if x[0] == 2] and len([x for x in left if x[0] == 3]) == 2 and len([x for x in left if x[0] is None and x[1]]) == 1
+    assert len([x for x in left if not x[1]]) == 3
+    assert corpus_pipeline.near_duplicate_stage(spark, crowded.where("false"), "").collect() == []
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"])
+def test_stages_of_clashing_and_empty_tables(spark, crowded, tmp_path, stage):
+    import corpus_pipeline
+
+    base = str(tmp_path)
+    spark.createDataFrame([(k, 1, 0) for k in (1, 2, 3, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(0, " ".join(words(30, 1))), (None, " ".join(words(70, 902)))], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    step = dict(corpus_pipeline.STAGES)[stage]
+    out, none = step(spark, crowded, base), step(spark, crowded.where("false"), base)
+    assert none.columns == out.columns and none.collect() == []
+    rows = out.collect()
+    if stage == "packing":
+        assert {"doc_id", "start", "sequence_id"} <= set(out.columns) and len(rows) >= crowded.count()
+        return
+    assert out.columns == crowded.columns and all(r[c] == "own" for r in rows for c in STAGE_CLASHES)
+    want = {"quality_classifier": 11, "line_dedup": 11, "ngram_jaccard_join": 7, "decontamination": 10}[stage]
+    assert len(rows) == want
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 

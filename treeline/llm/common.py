@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.storage import shared_dir, written  # noqa: F401
+
 #: Bytes of text that one step of a Python worker holds.
 SLICE_BYTES = 4 << 20
 #: Arrays from this size on go back to the system when they are freed; by itself the C library keeps what was once used, and a worker lives through many tasks.
@@ -21,26 +21,6 @@ if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
     _libc.mallopt(_MMAP_THRESHOLD, LARGE_ARRAY)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session names none (tests), since other machines can't read it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
-        path = tempfile.mkdtemp(prefix="treeline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder; any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/treeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id, folds: int):
     """crc32 of the id as text, modulo the number of folds; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(folds)), F.lit(0))
