@@ -4,10 +4,12 @@ Candidates are runs of ``LEAST`` or more letters, digits and ``+/=_-``, and
 from ``SHORTEST`` characters of any kind on, however many, the value that
 follows a word such as ``password`` and ``=`` or ``:`` (up to the closing quote
 of its line, or to white space), and the password of an address. Each has features of its length, its character transitions, the part
-that dictionary words cover, the path it stands in and the words beside it. A
-random forest learned from labelled findings gives the probability that a
-candidate is a secret. ``labelled_findings`` makes a labelled set by rule;
-any table of the same columns can take its place. The dictionary is what the
+that dictionary words cover, and the path it stands in. What the words beside
+it say is learned too: each hashed word has the log odds, shrunk to none for
+rare words, of standing beside a secret among the labelled findings. A random
+forest learned from those findings gives the probability that a candidate is a
+secret. ``labelled_findings`` makes a labelled set by rule; any table of the
+same columns can take its place. The dictionary is what the
 corpus itself writes often: words of letters alone, by the number of
 documents, counted over all of them.
 
@@ -29,6 +31,7 @@ import re
 import string
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import coded_words, only, slices
+from treeline.llm.common import coded_words, only, slices, word_hashes
 
 LEAST = 16
 TREES = 40
@@ -52,13 +55,12 @@ KEYED = re.compile(rf"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth
 ADDRESS = re.compile(rf"://[^\s/:@]{{1,64}}:([^\s/@]{_VALUE})@")
 BESIDE = 48
 
-# Plain words for made findings, and words that speak for and against a secret beside it.
+# Plain words for made findings.
 PLAIN = "about access account action address after again allow also always apple archive article author auto back base before black blue board book branch build button case change channel check city class client code color comment common config content copy country custom data date default delete demo design device document domain edit email entry error event example false field file find first flag folder form format from function general green group guide hand head height help here history home house image import index info input item java json keep kind label language large last left level library license light line link list local long look made main make manual master media member menu message method mode model month more music name network never news next night none note number object office open option order other page paper part pass path people phone photo place plan play point post print private process product profile project public query read record remote report request result return right root sample save script search section security select send server service session setting share simple site size some sort source start state store string style sub summary support system table target team temp test text that their them then there this time title tool total track type under unit update upload user value version video view water week white width with word work world write year your".split()
-FOR = frozenset("token key apikey secret password passwd pwd auth bearer credential credentials access private client".split())
-AGAINST = frozenset("sha sha1 sha256 md5 checksum digest commit revision uuid guid etag hash integrity example sample blob tree build".split())
 
-FEATURES = ["length", "class_changes", "letter_digit_changes", "vowel_turns", "entropy", "digit_share", "upper_share", "symbol_share", "hex_only", "dictionary_cover", "slashes", "in_path", "in_url", "quoted", "assigned", "keyed", "in_address", "for_words", "against_words", "distinct_share"]
-FINDING = "start long, length long, value_sha256 string, features array<double>"
+FEATURES = ["length", "class_changes", "letter_digit_changes", "vowel_turns", "entropy", "digit_share", "upper_share", "symbol_share", "hex_only", "dictionary_cover", "slashes", "in_path", "in_url", "quoted", "assigned", "keyed", "in_address", "distinct_share", "neighbours", "strongest_neighbour"]
+#: Hashed places of neighbouring words, and how many findings a word needs to count about half.
+PLACES, RARE = 4096, 10.0
 _SPLIT = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -98,8 +100,6 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str], keyed:
     counts = np.unique(list(value), return_counts=True)[1] / n
     low = value.lower()
     vowels = [c in "aeiou" for c in low if c.isalpha()]
-    words = [w.lower() for w in _SPLIT.findall(before)][-3:] + [w.lower() for w in _SPLIT.findall(after)][:1]
-    beside = {w for word in words for w in (word, *word.split("_"))}
     return [
         float(n),
         sum(a != b for a, b in pairs) / max(1, n - 1),
@@ -118,12 +118,31 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str], keyed:
         float(re.search(r"[=:]\s*[\"'`]?$", before) is not None),
         float(keyed),
         float(in_address),
-        float(len(beside & FOR)),
-        float(len(beside & AGAINST)),
         len(counts) / n,
     ]
 
 
+def beside(text: str, start: int, end: int) -> list[str]:
+    """The three words before a value and the one behind it, each once."""
+    before, after = text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
+    return list(dict.fromkeys(w.lower() for w in (*_SPLIT.findall(before)[-3:], *_SPLIT.findall(after)[:1])))
+
+
+def hashed(lists: list[list[str]]) -> list[np.ndarray]:
+    """The place of each word of each list."""
+    places = (word_hashes([w for x in lists for w in x]) % np.uint64(PLACES)).astype(np.int32)
+    return np.split(places, np.cumsum([len(x) for x in lists])[:-1]) if lists else []
+
+
+def with_neighbours(values: list[list[float]], places: list[np.ndarray], odds: np.ndarray) -> list[list[float]]:
+    """Features with what the neighbouring words say together, and the one that says most."""
+    out = []
+    for v, p in zip(values, places, strict=True):
+        o = odds[p]
+        out.append([*v, float(o.sum()), float(o[np.abs(o).argmax()]) if len(o) else 0.0])
+    return out
+
+
 def spans(text: str) -> Iterator[tuple[int, int, bool, bool]]:
     """(start, end, after a key word, in an address) of the candidates, in order."""
     found = [(*m.span(1), False, True) for m in ADDRESS.finditer(text)]
@@ -142,13 +161,13 @@ def spans(text: str) -> Iterator[tuple[int, int, bool, bool]]:
         yield last
 
 
-def findings(text: str | None, dictionary: frozenset[str]) -> Iterator[tuple[int, int, str, list[float]]]:
+def findings(text: str | None, dictionary: frozenset[str]) -> Iterator[tuple[int, int, str, list[float], list[str]]]:
     for start, end, keyed, in_address in spans(text or ""):
-        yield start, end - start, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest(), features(text, start, end, dictionary, keyed, in_address)
+        yield start, end - start, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest(), features(text, start, end, dictionary, keyed, in_address), beside(text, start, end)
 
 
 def labelled_findings(spark: SparkSession, dictionary: frozenset[str] = frozenset(), count: int = 4000, seed: int = 5) -> DataFrame:
-    """``features, label`` of findings made by rule: keys, tokens and passwords in their usual places, and what looks like them."""
+    """``features, beside, label`` (``beside`` has the places of neighbouring words) of findings made by rule: keys, tokens and passwords in their usual places, and what looks like them."""
     rng = random.Random(seed)
     known = sorted(dictionary) or PLAIN
     word = lambda: rng.choice(rng.choice([PLAIN, known]))
@@ -204,16 +223,54 @@ def labelled_findings(spark: SparkSession, dictionary: frozenset[str] = frozense
     for k in range(count):
         label = k % 2
         text = f"{sentence()} {rng.choice(true if label else false)()} {sentence()}"
-        rows += [(f, float(label)) for _, _, _, f in findings(text, dictionary)]
-    return spark.createDataFrame(rows, "features array<double>, label double")
+        rows += [(f, words, float(label)) for _, _, _, f, words in findings(text, dictionary)]
+    values, words, labels = zip(*rows, strict=True)
+    made = [(f, p.tolist(), y) for f, p, y in zip(values, hashed(list(words)), labels, strict=True)]
+    return spark.createDataFrame(made, "features array<double>, beside array<int>, label double")
+
+
+@dataclass(frozen=True)
+class SecretModel:
+    forest: RandomForestClassificationModel
+    odds: np.ndarray  # of each place of neighbouring words
+
+    def judge(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``features`` and ``beside``) with ``score``, the probability of a secret."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.odds)
+
+        def full(batches):
+            for batch in batches:
+                values = with_neighbours(batch["features"].to_pylist(), [np.array(p, np.int64) for p in batch["beside"].to_pylist()], shared.value)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(values, pa.list_(pa.float64()))], names=[*kept, "features"])
+
+        kept = [c for c in rows.columns if c not in ("features", "beside")]
+        ready = rows.mapInArrow(full, rows.select(*kept, "features").schema).withColumn("vector", array_to_vector("features"))
+        score = F.get(vector_to_array("probability"), 1) if self.forest.numClasses > 1 else F.lit(0.0)
+        return self.forest.transform(ready).withColumn("score", F.coalesce(score, F.lit(0.0))).select(*kept, "score")
+
+
+def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> SecretModel:
+    """Learn what neighbouring words say and, with that, the forest, from ``features, beside, label``."""
+    true = F.col("label") == 1
+    total = labelled.agg(F.count_if(true).alias("true"), F.count_if(~true).alias("false")).first()
+    odds = np.zeros(PLACES)
+    # A row a place at most.
+    for r in labelled.select("label", F.explode("beside").alias("place")).groupBy("place").agg(F.count_if(true).alias("true"), F.count_if(~true).alias("false")).collect():
+        share = [(r[k] + RARE / 2) / (max(1, total[k]) + RARE) for k in ("true", "false")]
+        seen = r["true"] + r["false"]
+        odds[r["place"]] = np.log(share[0] / share[1]) * seen / (seen + RARE)
+    shared = labelled.sparkSession.sparkContext.broadcast(odds)
 
+    def full(batches):
+        for batch in batches:
+            values = with_neighbours(batch["features"].to_pylist(), [np.array(p, np.int64) for p in batch["beside"].to_pylist()], shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch["label"]], names=["features", "label"])
 
-def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
-    rows = labelled.select(array_to_vector("features").alias("vector"), "label")
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=3).fit(rows)
+    rows = labelled.select("features", "beside", "label").mapInArrow(full, "features array<double>, label double").select(array_to_vector("features").alias("vector"), "label")
+    return SecretModel(RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=3).fit(rows), odds)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, dictionary: frozenset[str] = frozenset(), threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: SecretModel, dictionary: frozenset[str] = frozenset(), threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, start, length, value_sha256, score, is_secret`` of every candidate; the dictionary is the one that the model was learned with."""
     known = docs.sparkSession.sparkContext.broadcast(dictionary)  # WORDS at most
 
@@ -221,10 +278,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, dictionary: fr
         dictionary = known.value
         for part in slices(batches):
             rows = [(i, *f) for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for f in findings(text, dictionary)]
-            ids, start, length, digest, values = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string()), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "start", "length", "value_sha256", "features"])
+            ids, start, length, digest, values, words = zip(*rows, strict=True) if rows else ([],) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string()), pa.array(values, pa.list_(pa.float64())), pa.array(hashed(list(words)), pa.list_(pa.int32()))], ["doc_id", "start", "length", "value_sha256", "features", "beside"])
 
-    rows = only(docs, "doc_id", "text").mapInArrow(found, f"doc_id long, {FINDING}").withColumn("vector", array_to_vector("features"))
-    score = F.get(vector_to_array("probability"), 1) if model.numClasses > 1 else F.lit(0.0)
-    scored = model.transform(rows).withColumn("score", F.coalesce(score, F.lit(0.0)))
-    return scored.select("doc_id", "start", "length", "value_sha256", "score", (F.col("score") >= threshold).cast("int").alias("is_secret"))
+    rows = only(docs, "doc_id", "text").mapInArrow(found, "doc_id long, start long, length long, value_sha256 string, features array<double>, beside array<int>")
+    return model.judge(rows).select("doc_id", "start", "length", "value_sha256", "score", (F.col("score") >= threshold).cast("int").alias("is_secret"))
