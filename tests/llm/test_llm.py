@@ -234,6 +234,8 @@ def test_decontamination_of_common_runs(spark):
     hidden = [" ".join([*words(9, 7 + k), *items[k], *words(4, 8 + k)]) for k in range(0, 1500, 50)]
     doc, item, distance, first = decontam.matches(found, [text + " " + hidden[0], *hidden, *hidden])
     assert sorted(zip(doc.tolist(), item.tolist(), strict=True)) == [(0, 0)] + [(1 + k, 50 * (k % 30)) for k in range(60)] and not distance.any()
+    # A text that shares a run, but not enough words, alone in its slice.
+    assert len(decontam.matches(found, [" ".join(items[0][:5])])[0]) == len(decontam.matches(found, [None])[0]) == 0
     # Items of the shared words alone: each part of them is common, and is found all the same.
     alike = decontam.prepare(list(range(40)), [" ".join(shared * 4)] * 40)
     assert len(decontam.matches(alike, [" ".join([*words(5, 3), *shared * 4])])[0]) == 40

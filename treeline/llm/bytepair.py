@@ -433,8 +433,7 @@ def run_in_batches(table: pa.RecordBatch, column: str, most: int = 1 << 20) -> I
     """Cut a batch so that the lists of a column hold about ``most`` values a part; one longer list is a part by itself."""
     sizes = pc.fill_null(pc.list_value_length(table[column]), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+    for a, b in itertools.pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), table.num_rows]):
         yield table.slice(a, b - a)
 
 

@@ -37,6 +37,7 @@ matches and leave every document. ``contaminated`` reads no other columns;
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -144,8 +145,8 @@ def prepare(ids: list[int | None], texts: list[str | None]) -> Items:
 def stretches(number: np.ndarray, most: int) -> Iterator[slice]:
     """Consecutive stretches whose numbers add up to about ``most``; one larger number is a stretch by itself."""
     part = (np.cumsum(number) - number) // most
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(number)], strict=True):
+    bounds = [*np.flatnonzero(np.diff(part, prepend=-1)), len(number)]
+    for a, b in itertools.pairwise(bounds):
         yield slice(a, b)
 
 
