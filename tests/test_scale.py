@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from test_units import ellipse, feature_table, write_las
 from treeline import settings as S
-from treeline.operators import checks, evaluate, forest, scores, selection, summaries, threshold
+from treeline.operators import checks, cloud, evaluate, forest, scores, selection, summaries, threshold
 from treeline.plans import extract
 from treeline.sources import las, names
 
@@ -320,3 +320,17 @@ def test_filters_reach_the_reader(spark, tmp_path, monkeypatch):
     read = [next(reader.read(p)).num_rows for p in reader.partitions()]
     # Each of the two files decodes one coordinate of all points and three of those that pass; the other two none.
     assert read == [44, 50] and sum(decoded) == 2 * 50 + 3 * (44 + 50)
+
+
+def test_trees_over_many_tasks_have_the_same_features(spark, monkeypatch):
+    """Trees cut over 50 tasks: the chain over many tasks gives what windows give, guards and null keys too."""
+    clouds = [("big", ellipse(4000)), ("narrow", ellipse(900, 5) * [0.2, 3, 1]), ("sparse", ellipse(119, 2)), ("few", ellipse(60, 4)[:49]), ("flat", ellipse(80) * [1, 1, 0]), (None, ellipse(700, 8))]
+    rows = [(k, 1, float(x), float(y), float(z)) for k, pts in clouds for x, y, z in pts] + [("big", 1, None, 1.0, 2.0), ("big", 1, float("nan"), 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "tree string, part int, x double, y double, z double").repartition(50)
+    want = cloud.features(points, ["tree", "part"]).toPandas().sort_values("tree").reset_index(drop=True)
+    got = cloud.spread_features(points, ["tree", "part"])
+    assert got.columns == list(want.columns)
+    pd.testing.assert_frame_equal(got.toPandas().sort_values("tree").reset_index(drop=True), want, check_dtype=False, rtol=1e-9)
+    assert len(want) == 4
+    mixed = cloud.all_features(points, ["tree", "part"], large=800).toPandas().sort_values("tree").reset_index(drop=True)
+    pd.testing.assert_frame_equal(mixed, want, check_dtype=False, rtol=1e-9)

@@ -180,3 +180,4 @@ ORACLES = {
     "grade_errors": f"WITH {SQL} SELECT method, truth, pred - truth AS grade_difference, count(*) AS n FROM predictions WHERE pred <> truth GROUP BY ALL",
     "controls_union": f"WITH {SQL}, f AS (SELECT method, avg((truth = pred)::INT) AS acc, avg(abs(truth - pred)) AS mae FROM predictions GROUP BY 1) SELECT method, {R('acc', 'Accuracy')}, {R('mae', 'MAE')}, NULL AS ResultSource FROM f UNION ALL SELECT 'archived', round(acc, 6) + 0.0, NULL, 'archive' FROM f WHERE method = 'A'",
 }
+ORACLES["spread_feature_row"] = ORACLES["feature_row"]

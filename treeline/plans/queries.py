@@ -21,7 +21,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _features(spark, sf_dir):
-    return cloud.features(standins.cloud(spark, sf_dir), ["tree"])
+    return cloud.all_features(standins.cloud(spark, sf_dir), ["tree"])
 
 
 def z_trim_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +329,7 @@ def controls_union(spark, sf_dir):
 
 def _trees(spark, sf_dir, by=("tree",)):
     """The stand-in clouds' feature table. Half a supplier's points are too few for the cells; the share of all points stands for those features then."""
-    rows = cloud.features(standins.cloud(spark, sf_dir), list(by))
+    rows = cloud.all_features(standins.cloud(spark, sf_dir), list(by))
     if len(by) > 1:
         rows = rows.withColumns({c: F.coalesce(c, "GlobalPF50") for c in ("CorePF50", "PGF50", "CPC90")})
     # The models read the table once a step, so it is written once.
@@ -422,7 +422,13 @@ def rating_pair_means(spark, sf_dir):
     return rounded(agreement.mean_agreement(agreement.rating_pairs(_ratings(spark, sf_dir), RATERS)))
 
 
+def spread_feature_row(spark, sf_dir):
+    """The descriptors by the way of trees that no task can hold."""
+    return rounded(cloud.spread_features(standins.cloud(spark, sf_dir), ["tree"]))
+
+
 QUERIES = {
+    "spread_feature_row": spread_feature_row,
     "feature_row": lambda spark, sf_dir: rounded(_features(spark, sf_dir)),
     "z_trim_depth": z_trim_depth,
     "profile20": _picked(*[f"p{k + 1}" for k in range(S.BINS)]),
