@@ -334,3 +334,12 @@ def test_trees_over_many_tasks_have_the_same_features(spark, monkeypatch):
     assert len(want) == 4
     mixed = cloud.all_features(points, ["tree", "part"], large=800).toPandas().sort_values("tree").reset_index(drop=True)
     pd.testing.assert_frame_equal(mixed, want, check_dtype=False, rtol=1e-9)
+
+
+def test_rows_of_a_key_are_never_parted(spark):
+    """Two rows of each key, alike but for their class: a model that saw the one would know the other's features."""
+    rows = feature_table(spark, 60).withColumn("key", F.concat(F.lit("t"), F.floor(F.col("key") / 2)))
+    out = evaluate.repeated_folds(rows, ["GlobalPF_Threshold"], ["five_class"], repeats=2, count=3)
+    assert out.count() == 120 and out.groupBy("repeat", "key").count().where("count <> 2").isEmpty()
+    dealt = checks.group_folds(rows, "key", "class", repeats=2, count=3)
+    assert dealt.count() == 60 and dealt.groupBy("repeat", "fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 2
