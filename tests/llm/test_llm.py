@@ -187,6 +187,31 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert got == jaccard_classes(texts)
 
 
+def test_jaccard_join_finds_partners_of_hub_members(spark, monkeypatch):
+    """Members are similar to one hub (0.815); each has partners that are similar to it (0.815) and not to the hub (0.66): their links hang on no leader."""
+    hub = words(200, 1)
+
+    def changed(text, places, seed):
+        new = list(text)
+        for p, w in zip(places, words(len(places), seed), strict=True):
+            new[p] = w
+        return new
+
+    # Nodes are split far below their usual size, so that members leave nodes with a leader.
+    monkeypatch.setattr(chosenpath, "SMALL", 8)
+    monkeypatch.setattr(chosenpath, "BLOCK", 16)
+    rng, texts, want = random.Random(6), [hub], [("hub", 60)]
+    for k in range(60):
+        spots = rng.sample(range(5, 195, 6), 12)
+        member = changed(hub, spots[:4], 1000 + k)
+        texts += [member, *(changed(member, spots[4 * n : 4 * n + 4], 5000 + 10 * k + n) for n in (1, 2))]
+        want += [("member", 3), ("partner", 1), ("partner", 1)]
+    got = [r["links"] for r in chosenpath.join(docs_of(spark, [" ".join(t) for t in texts])).orderBy("doc_id").collect()]
+    assert all(g <= n for g, (_, n) in zip(got, want, strict=True))
+    found = lambda kind: sum(g for g, (k, _) in zip(got, want, strict=True) if k == kind) / sum(n for k, n in want if k == kind)
+    assert found("hub") >= 0.9 and found("member") >= 0.9 and found("partner") >= 0.9, (found("hub"), found("member"), found("partner"))
+
+
 def test_jaccard_join_of_nothing(spark, empty):
     assert chosenpath.join(empty).count() == 0
 
