@@ -161,7 +161,6 @@ def windows(items: Items, distinct: np.ndarray, codes: np.ndarray, starts: np.nd
     hashes = distinct[codes]
     sizes = np.array([len(w) for w in items.words], np.int64)
     known = np.argsort(distinct, kind="stable")
-    present = np.zeros(0, np.int64)
     for q, (table, item, offset, bitmap) in items.tables.items():
         g = grams(hashes, q)
         at = np.flatnonzero(bitmap[(g >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -173,9 +172,12 @@ def windows(items: Items, distinct: np.ndarray, codes: np.ndarray, starts: np.nd
         at, low, number, doc = at[inside], low[inside], number[inside], doc[inside]
         if not len(at):
             continue
-        if not len(present):
-            word_doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            present = np.unique(word_doc * len(distinct) + codes)
+        # The words of the documents that hold a run.
+        held = np.zeros(len(starts) - 1, bool)
+        held[doc] = True
+        word_doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        own = held[word_doc]
+        present = np.sort(word_doc[own] * len(distinct) + codes[own])
         # Each run of a document once, with the places where it occurs.
         order = np.lexsort((low, doc))
         at, low, number, doc = at[order], low[order], number[order], doc[order]
