@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from test_units import ellipse, feature_table, write_las
 from treeline import settings as S
-from treeline.operators import checks, cloud, evaluate, forest, scores, selection, summaries, threshold
+from treeline.operators import checks, cloud, cnn, evaluate, forest, scores, selection, summaries, threshold
 from treeline.plans import extract
 from treeline.sources import las, names
 
@@ -343,3 +343,82 @@ def test_rows_of_a_key_are_never_parted(spark):
     assert out.count() == 120 and out.groupBy("repeat", "key").count().where("count <> 2").isEmpty()
     dealt = checks.group_folds(rows, "key", "class", repeats=2, count=3)
     assert dealt.count() == 60 and dealt.groupBy("repeat", "fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 2
+
+
+def profiles(n, seed=5):
+    """Rows of a network's training: some values are null, not finite or below 0, one column has no value at all."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        y = int(rng.integers(0, 4))
+        x = [float(v) for v in rng.random(20) + np.where(np.arange(20) // 5 == y, 0.4, 0.0)]
+        x[3], x[7] = [(None, math.nan, math.inf, -1.0, x[3])[k % 5] for _ in range(2)]
+        x[11] = None
+        rows.append((k // 2, int(rng.integers(0, 5)), y, x))
+    return rows
+
+
+def plain_network(rows, seed, epochs, ids, inner_too):
+    """Full batches in one place: the weights after each epoch, and the inner rows' loss."""
+    x = np.array([[np.nan if v is None else v for v in r[3]] for r in rows])
+    y, learn = np.array([r[2] for r in rows]), np.array([inner_too or r[1] != 0 for r in rows])
+    x[~np.isfinite(x)] = np.nan
+    median = np.array([0.0 if np.isnan(c).all() else np.nanmedian(c) for c in x[learn].T])
+    x = cnn.imputed(x, median)
+    counts = np.bincount(y[learn], minlength=5)
+    w = np.array([learn.sum() / ((counts > 0).sum() * c) if c else 0.0 for c in counts])
+    v = cnn.vector(cnn.started(np.random.default_rng(seed))).astype(float)
+    m1, m2, after, losses = 0.0, 0.0, [], []
+    for t in range(1, epochs + 1):
+        p = cnn.network(v.astype(np.float32))
+        z, kept = cnn.forward(p, x[learn], cnn.dropped(ids[learn], seed, t))
+        g = cnn.vector(cnn.backward(p, kept, cnn.loss_and_error(z, y[learn], w / w[y[learn]].sum())[1]))
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        v = v * (1 - cnn.RATE * cnn.DECAY) - cnn.RATE * m1 / (1 - 0.9**t) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        after.append(v)
+        if not inner_too:
+            z = cnn.forward(cnn.network(v.astype(np.float32)), x[~learn])[0]
+            z = z - np.log(np.exp(z).sum(1, keepdims=True))
+            losses.append(-(w[y[~learn]] * z[np.arange(len(z)), y[~learn]]).sum() / w[y[~learn]].sum())
+    return after, losses
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_networks_equal_plain_ones_however_rows_are_laid(spark, parts):
+    rows = {f: profiles(70 + 30 * f, f) for f in (0, 3)}
+    df = spark.createDataFrame([(f, *r) for f, rs in rows.items() for r in rs], "fit int, key long, inner int, y int, x array<double>").withColumn("id", F.xxhash64("key"))
+    found = cnn.trained(df.repartition(parts).select("fit", "id", "inner", "x", "y"), 12)
+    assert set(found) == {0, 3}
+    ids = {r["key"]: r["id"] for r in df.select("key", "id").distinct().collect()}
+    for f, own in rows.items():
+        at = np.array([ids[r[0]] for r in own])
+        losses = plain_network(own, 17 + f, 12, at, False)[1]
+        best, chosen = np.inf, 12
+        for t, loss in enumerate(losses, 1):
+            if loss < best - cnn.LEAST_GAIN:
+                best, chosen = loss, t
+            elif t - chosen >= cnn.PATIENCE:
+                break
+        model, epochs = found[f]
+        assert epochs == max(cnn.LEAST_EPOCHS, chosen)
+        after = plain_network(own, 31 + f, 12, at, True)[0]
+        assert np.abs(model.weights - after[epochs - 1]).max() < 0.02 and np.abs(model.weights - after[epochs - 1]).mean() < 1e-4
+
+
+def test_dropout_follows_the_row():
+    ids = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 4000)
+    a = cnn.dropped(ids, 31, 2)
+    assert a.shape == (4000, 160) and abs((a == 0).mean() - cnn.DROPPED) < 0.005 and set(np.unique(a).tolist()) == {0.0, np.float32(1 / (1 - cnn.DROPPED))}
+    assert np.abs((a == 0).mean(0) - cnn.DROPPED).max() < 0.05 and np.array_equal(cnn.dropped(ids[::-1], 31, 2), a[::-1])
+    for other in (cnn.dropped(ids, 31, 3), cnn.dropped(ids, 32, 2)):
+        assert abs(((a == 0) & (other == 0)).mean() - cnn.DROPPED**2) < 0.01
+
+
+def test_networks_without_inner_rows_or_rows(spark):
+    schema = "fit int, key long, role string, inner int, y int, x array<double>"
+    rows = [(0, r[0], "train", 1, r[2], r[3]) for r in profiles(40)] + [(0, 100, "test", 0, 2, [None] * 20)]
+    got = cnn.fit_predict(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["fit"], r["key"], r["y"], r["epoch"]) for r in got] == [(0, 100, 2, cnn.EPOCHS)] and got[0]["pred"] in range(5)
+    assert cnn.fit_predict(spark.createDataFrame([], schema)).collect() == []
+    with pytest.raises(Exception, match="no training rows"):
+        cnn.fit_predict(spark.createDataFrame(rows[-1:], schema)).collect()
