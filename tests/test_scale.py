@@ -297,7 +297,7 @@ def test_headers_are_read_without_contents(spark, tmp_path, monkeypatch):
     reader = las.LasReader({"path": str(tmp_path), "chunk": "10000000"})
     planned = reader.partitions()
     assert len(planned) == 15 and sum(p.count for p in planned) == count
-    part = next(reader.read(las.Range(str(tmp_path / "big.las"), count - 5, 5)))
+    part = next(reader.read(las.Ranges([(str(tmp_path / "big.las"), count - 5, 5)])))
     assert part.num_rows == 5
 
 
@@ -313,11 +313,11 @@ def test_filters_reach_the_reader(spark, tmp_path, monkeypatch):
     assert source.where("x > 1e6").count() == 0 and source.where("x IS NULL").count() == 0 and source.count() == 200
     reader = las.LasReader({"path": str(tmp_path)})
     rest = list(reader.pushFilters([las.GreaterThan(("x",), 215.0), las.LessThan(("path",), "a"), las.EqualTo(("x",), float("nan"))]))
-    assert len(rest) == 2 and [p.path[-5] for p in reader.partitions()] == ["2", "3"]
+    assert len(rest) == 2 and [path[-5] for p in reader.partitions() for path, _, _ in p.parts] == ["2", "3"]
     decoded = []
     plain = las.coordinates
     monkeypatch.setattr(las, "coordinates", lambda h, raw, dims="xyz": decoded.append(len(raw) // h.record * len(dims)) or plain(h, raw, dims))
-    read = [next(reader.read(p)).num_rows for p in reader.partitions()]
+    read = [batch.num_rows for p in reader.partitions() for batch in reader.read(p)]
     # Each of the two files decodes one coordinate of all points and three of those that pass; the other two none.
     assert read == [44, 50] and sum(decoded) == 2 * 50 + 3 * (44 + 50)
 
@@ -422,3 +422,42 @@ def test_networks_without_inner_rows_or_rows(spark):
     assert cnn.fit_predict(spark.createDataFrame([], schema)).collect() == []
     with pytest.raises(Exception, match="no training rows"):
         cnn.fit_predict(spark.createDataFrame(rows[-1:], schema)).collect()
+
+
+def test_las_files_written_and_read_again(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(f"0{20 + 20 * (k % 2)}/{'ab'[k % 2]}.las", float(v[0]), float(v[1]), float(v[2])) for k, v in enumerate(rng.normal(0, 50, (900, 3)))] + [("c/one.LAS", 5.0, -3.0, 1e5)]
+    df = spark.createDataFrame(rows, "file string, x double, y double, z double").repartition(5)
+    for root in (str(tmp_path / "plain"), f"file:{tmp_path}/address"):
+        told = {r["file"]: r["points"] for r in las.write(df, root, 0.0001, 'UNIT["foot",0.3048]').collect()}
+        assert told == {"020/a.las": 450, "040/b.las": 450, "c/one.LAS": 1} and len(las.files(root)) == 3
+        assert not [p for p in tmp_path.rglob("*.part")]
+        las.register(spark)
+        got = spark.read.format("las").option("chunk", "100").load(root).toPandas()
+        for file in told:
+            own, mine = got[got.path.str.endswith(file)], np.array([r[1:] for r in rows if r[0] == file])
+            steps = lambda v: sorted(map(tuple, np.rint(v * 10_000).astype(int).tolist()))
+            assert steps(own[["x", "y", "z"]].to_numpy()) == steps(mine)
+        h = las.header(las.files(root)[0])
+        assert h.count == 450 and las.metres(h.wkt) == (0.3048, False) and h.low[0] == min(r[1] for r in rows if r[0] == "020/a.las")
+    # Written again, a file is the same.
+    before = (tmp_path / "plain/020/a.las").read_bytes()
+    las.write(df.repartition(3), str(tmp_path / "plain"), 0.0001, 'UNIT["foot",0.3048]')
+    assert (tmp_path / "plain/020/a.las").read_bytes() == before
+
+
+def test_what_las_files_cannot_hold(spark, tmp_path):
+    schema = "file string, x double, y double, z double"
+    assert las.write(spark.createDataFrame([], schema), str(tmp_path)).collect() == [] and las.files(str(tmp_path)) == []
+    for row, why in (((None, 1.0, 1.0, 1.0), "without a file"), (("a.las", None, 1.0, 1.0), "finite"), (("a.las", math.inf, 1.0, 1.0), "finite")):
+        with pytest.raises(Exception, match=why):
+            las.write(spark.createDataFrame([("a.las", 1.0, 1.0, 1.0), row], schema), str(tmp_path))
+    with pytest.raises(Exception, match="fit a scale"):
+        las.write(spark.createDataFrame([("a.las", 0.0, 1.0, 1.0), ("a.las", 1e9, 1.0, 1.0)], schema), str(tmp_path))
+    assert las.files(str(tmp_path)) == []
+
+
+def test_small_files_share_a_partition():
+    parts = [("a", 0, 5), ("a", 5, 5), ("a", 10, 1), ("b", 0, 2), ("c", 0, 2), ("d", 0, 5)]
+    got = las.gathered(parts, 5)
+    assert [p for g in got for p in g.parts] == parts and [sum(p[2] for p in g.parts) for g in got] == [5, 5, 5, 5] and las.gathered([], 5) == []

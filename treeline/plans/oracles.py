@@ -104,10 +104,15 @@ _PANELS = f"{_HEIGHTS}, ok AS (SELECT round(height, 9) AS v, field FROM heights
 _DENSITY = f"WITH {SQL}, boxes AS (SELECT tree, count(*) AS n_points, (max(x) - min(x)) * {{f}} AS width, (max(y) - min(y)) * {{f}} AS height FROM cloud GROUP BY tree), hulls AS ({{hull}}), dens AS (SELECT tree, n_points, width, height, width * height AS box_area, n_points / (width * height) AS box_density, hull_area * {{f}} * {{f}} AS hull_area FROM boxes JOIN hulls USING (tree))"
 
 
-def _density(f: float) -> str:
+def _hulls() -> str:
+    """``tree, hull_area`` of a table ``cloud``, unrounded."""
     hull = _HULL.replace("round(abs(sum(ax * bv - bx * ay)) / 2, 6) + 0.0", "abs(sum(ax * bv - bx * ay)) / 2")
     ctes, last = hull.lstrip(", ").rsplit("\nSELECT", 1)
-    return _DENSITY.format(f=f, hull=f"WITH {ctes} SELECT{last}")
+    return f"WITH {ctes} SELECT{last}"
+
+
+def _density(f: float) -> str:
+    return _DENSITY.format(f=f, hull=_hulls())
 
 
 _METHOD_X = {"VRI_Threshold": "vri", "GlobalPF_Threshold": "gpf"}

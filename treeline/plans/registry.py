@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from treeline.plans.oracles import ORACLES
-from treeline.plans.queries import QUERIES
+from treeline.plans import files, oracles, queries
+
+QUERIES = queries.QUERIES | files.QUERIES
+ORACLES = oracles.ORACLES | files.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
