@@ -4,11 +4,13 @@ import hashlib
 import random
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from treeline import storage
 from treeline.llm import chosenpath, chroma, decontam, langid, linededup, packing, quality, secrets, sharding, urllist
 from treeline.llm import queries as Q
 
@@ -145,6 +147,20 @@ def test_line_dedup_of_repeated_rows_and_ids(spark):
         assert sorted(len(r["removed_lines"]) for r in left) == [0, 2, 2, 2, 2]
 
 
+def test_line_dedup_writes_small_tables(spark, tmp_path):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=12)) for _ in range(40)) for _ in range(1500)]
+    docs = docs_of(spark, texts).coalesce(2)
+    docs.write.parquet(str(tmp_path / "plain"), compression="snappy")
+    weigh = lambda folder: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    shared = Path(storage.shared_dir(spark).removeprefix("file://"))
+    before = weigh(shared)
+    left = linededup.dedup(docs)
+    assert 0 < weigh(shared) - before < 0.8 * weigh(tmp_path / "plain")
+    assert [r["text"] for r in left.orderBy("doc_id").collect()] == texts
+
+
 def test_line_dedup_is_native(spark, odd):
     plan = linededup.dedup(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
