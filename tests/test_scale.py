@@ -461,3 +461,29 @@ def test_small_files_share_a_partition():
     parts = [("a", 0, 5), ("a", 5, 5), ("a", 10, 1), ("b", 0, 2), ("c", 0, 2), ("d", 0, 5)]
     got = las.gathered(parts, 5)
     assert [p for g in got for p in g.parts] == parts and [sum(p[2] for p in g.parts) for g in got] == [5, 5, 5, 5] and las.gathered([], 5) == []
+
+
+def test_buckets_are_the_same_wherever_they_are_read(spark):
+    """Approximate quantiles depend on the order of arrival, so no plan that counts buckets makes them anew."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 1009 / 8).alias("v"))
+    shares = [0.0, 0.3, 0.5, 0.99]
+    found = selection.percentiles(df, ["g"], {"v": F.col("v")}, shares, 16, whole=100)
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    values = {g: np.array([r["v"] for r in df.where(f"g = {g}").collect()]) for g in range(3)}
+    for r in found.collect():
+        assert np.allclose(r["v"], np.quantile(values[r["g"]], shares))
+    whole = selection.percentiles(df, ["g"], {"v": F.col("v")}, shares, most=1000).collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole))
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    cut, one = (selection.running(counts, ["g"], "v", {"n": "before"}, 16, whole) for whole in (10, 8192))
+    assert "percentile_approx" not in cut._jdf.queryExecution().toString()
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    from treeline.plans import standins
+
+    mean = lambda values: spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).agg(standins.exact_mean(F.col("v"))).first()[0]
+    assert mean([1e8, 0.1, -1e8, None]) == mean([-1e8, 1e8, None, 0.1]) == 0.1 / 3
+    assert mean([None, None]) is None
+    assert mean([float("inf"), 1.0]) == float("inf")
