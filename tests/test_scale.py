@@ -487,3 +487,16 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     assert mean([1e8, 0.1, -1e8, None]) == mean([-1e8, 1e8, None, 0.1]) == 0.1 / 3
     assert mean([None, None]) is None
     assert mean([float("inf"), 1.0]) == float("inf")
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """41/640 lies below its decimal form 0.0640625."""
+    import duckdb
+
+    from treeline.plans.queries import rounded
+
+    values = [41 / 640, 1 / 128, 2.5e-6, -0.1234565, 1e15 / 3, 0.0, -1e-9, 1 / 3]
+    found = rounded(spark.createDataFrame([(k, v) for k, v in enumerate([*values, None, float("nan")])], "k int, v double")).orderBy("k").collect()
+    told = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6) + 0.0").fetchall()[0][0] for v in values]
+    assert [r["v"] for r in found[:-2]] == told and told[0] == 0.064062
+    assert found[-2]["v"] is None and math.isnan(found[-1]["v"])
