@@ -500,3 +500,13 @@ def test_rounding_is_that_of_the_sql(spark):
     told = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6) + 0.0").fetchall()[0][0] for v in values]
     assert [r["v"] for r in found[:-2]] == told and told[0] == 0.064062
     assert found[-2]["v"] is None and math.isnan(found[-1]["v"])
+
+
+@pytest.mark.parametrize("n, first, count", [(1, 0, 1), (7_500, 0, 7_500), (450_000, 0, 450_000), (5_000_000, 4_500_000, 200_000), (3_000_000_000, 2_999_000_000, 1000)])
+def test_hits_of_draws_equal_those_drawn_one_by_one(n, first, count):
+    from treeline.plans.queries import _hits
+
+    up, down, starts = n // 5, n // 7, np.arange(2996, 3000) * 40503 + 4 * 977 + 3 * 331 + 42
+    draws = np.arange(first, first + count)
+    at = [(s + draws * 9973) * 48271 % 2147483647 * 16807 % 2147483647 % n for s in starts.tolist()]
+    assert _hits(n, up, down, first, count, starts).tolist() == [(a < up).sum() - ((a >= up) & (a < up + down)).sum() for a in at]
