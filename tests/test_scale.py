@@ -510,3 +510,16 @@ def test_hits_of_draws_equal_those_drawn_one_by_one(n, first, count):
     draws = np.arange(first, first + count)
     at = [(s + draws * 9973) * 48271 % 2147483647 * 16807 % 2147483647 % n for s in starts.tolist()]
     assert _hits(n, up, down, first, count, starts).tolist() == [(a < up).sum() - ((a >= up) & (a < up + down)).sum() for a in at]
+
+
+def test_files_found_by_tasks_are_those_that_spark_finds(spark, tmp_path):
+    for name in ("020/a.las", "020/b c.LAZ", "020/deep/x=1/c.las", "_x=1/d.las", "_hidden/e.las", ".f.las", "020/notes.txt", "g.las"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"LASF" * len(name))
+    (tmp_path / "empty").mkdir()
+    same = lambda rows: sorted(map(tuple, rows.collect()))
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/g.las"):
+        found = names.listed(spark, root)
+        assert same(found) == same(names.cloud_files(spark, root)) and found.columns == ["path", "length"]
+    # The driver has no list of the files that a density is asked of.
+    assert "binaryFile" not in extract.densities(spark, str(tmp_path))[0]._jdf.queryExecution().toString()
